@@ -24,14 +24,13 @@ TURNS = "array<struct<role:string,text:string>>"
 @dataclass(frozen=True)
 class Mapping:
     """paths: field paths that make the layout, lists as []; turns: for lists, (list, role, text) and what roles are
-    called; for flat layouts, (role, field) pairs in order, where fields that are null or empty before the last
-    `needed` ones are left out."""
+    called; for flat layouts, (role, field) pairs in order, of which the optional ones are left out if null or empty."""
 
     name: str
     paths: tuple[str, ...]
     items: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
-    needed: int = 2
+    optional: tuple[str, ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
 
 
@@ -44,9 +43,9 @@ MAPPINGS = (
     Mapping("turns", ("turns", "turns[].role", "turns[].text"), items=("turns", "role", "text"), roles=_SHARED_ROLES),
     Mapping("prompt and completion", ("completion", "prompt"), fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt and response", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
-    Mapping("system, prompt and response", ("prompt", "response", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Mapping("system, prompt and response", ("prompt", "response", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
     Mapping("instruction and output", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
-    Mapping("instruction, input and output", ("input", "instruction", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Mapping("instruction, input and output", ("input", "instruction", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input",)),
     Mapping("question and answer", ("answer", "question"), fields=(("user", "question"), ("assistant", "answer"))),
 )
 #: Names that mean something to a mapping; fields of other names don't enter a fingerprint.
@@ -99,9 +98,9 @@ def _turns(m: Mapping, column) -> Column:
         items, role, text = m.items
         made = F.transform(column(items), lambda x: F.struct(_role(x[role], m).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
         return F.coalesce(made, F.array().cast(TURNS))
-    made = [(F.struct(F.lit(role).alias("role"), F.coalesce(column(name), F.lit("")).alias("text"))) for role, name in m.fields]
-    optional = F.array(*made[: -m.needed]).cast(TURNS) if made[: -m.needed] else F.array().cast(TURNS)
-    return F.concat(F.filter(optional, lambda x: x["text"] != ""), F.array(*made[-m.needed :]).cast(TURNS))
+    made = [F.struct(F.lit(role).alias("role"), F.coalesce(column(name), F.lit("")).alias("text")) for role, name in m.fields]
+    kept = [F.when(turn["text"] != "", turn) if name in m.optional else turn for turn, (_, name) in zip(made, m.fields, strict=True)]
+    return F.filter(F.array(*kept), lambda x: x.isNotNull()).cast(TURNS)
 
 
 def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:

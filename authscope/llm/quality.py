@@ -41,7 +41,7 @@ class Risk:
     """risk: share of good documents of a stratum that all rules together may reject; delta: chance that this fails
     anywhere; price: bad documents that one good document is worth; min_words, max_repeat_percent: the base rule."""
 
-    risk: float = 0.01
+    risk: float = 0.05
     delta: float = 0.05
     price: float = 20.0
     min_words: int = 50

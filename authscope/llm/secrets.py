@@ -128,7 +128,8 @@ def scan(docs: DataFrame, key: str = "doc_id", owner: Column | None = None, repo
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts, base digest and span text of scan()'s rows."""
     base = F.filter("found", lambda s: s["kind"] < len(PATTERNS))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(PATTERNS)]
+    of_kind = lambda k: F.filter("found", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(PATTERNS)]
     return scanned.select(key, *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
 
 
