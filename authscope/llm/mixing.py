@@ -10,7 +10,7 @@ of all rows is spread over as many tasks as it has buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from authscope.llm.common import ROW_ID, materialize, n_words, with_row_id
@@ -19,7 +19,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Training time, and for each place in WEIGHTS the schedule there: steady, rising, falling.
 KNOTS = (0.0, 0.5, 1.0)
 SCHEDULES = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
-BUCKET_ROWS, BROADCAST_SOURCES = 4096, 50_000
+#: Rows of a bucket that is ordered in one task; sources that are broadcast; broadcast buckets of all sources.
+BUCKET_ROWS, BROADCAST_SOURCES, BROADCAST_BUCKETS = 4096, 50_000, 100_000
 
 
 def fill(sizes: list[int], weights: list[float], share: float = 1.5, ceiling: float = 2.0) -> list[float]:
@@ -40,7 +41,7 @@ def fill(sizes: list[int], weights: list[float], share: float = 1.5, ceiling: fl
     return targets
 
 
-def _time(demand: F.Column) -> F.Column:
+def _time(demand: Column) -> Column:
     """Training time at which a schedule (columns w0, w1, ...) has met `demand`, a share of its integral."""
     steps = [b - a for a, b in zip(KNOTS, KNOTS[1:], strict=False)]
     areas = [F.lit(h / 2) * (F.col(f"w{k}") + F.col(f"w{k + 1}")) for k, h in enumerate(steps)]
@@ -55,55 +56,99 @@ def _time(demand: F.Column) -> F.Column:
     return F.least(out, F.lit(KNOTS[-1]))
 
 
-def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, ceiling: float = 2.0, whole: bool = False, row_id: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: key, row_id, source_index, size, source_size, target, copies, taken, position.
+def _high(hashed: Column) -> Column:
+    """The upper 31 bits, unsigned: what buckets are cut by."""
+    return F.shiftrightunsigned(hashed, 33)
 
-    taken: words that the mix takes. A source's last copy ends inside a document, where its target is met; with
-    `whole` that document is taken if more than half of it would be, and taken is a multiple of size.
-    position: training time of the first copy (null if none); a later copy is met when the stream comes round.
-    Null text: size 0. Null source: one source, ordered last. Null or repeated keys: rows of their own; equal rows
-    may change places with each other. Empty table: empty result.
-    """
-    sized = materialize(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("size"), *row_id), "sizes")
-    totals = sorted(((r[0], r[1], r[2]) for r in sized.groupBy("_source").agg(F.sum("size"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))]
-    targets = fill([r[1] for r in totals], weights, share, ceiling)
+
+def _bucket(hashed: Column, buckets: Column) -> Column:
+    return F.shiftright(_high(hashed) * buckets, 31)
+
+
+def _sized(rows: DataFrame, key: str, source: str, text: str, row_id: tuple[str, ...], *keep: Column) -> DataFrame:
+    """What decides about a row (its key, source, size, place in hash order, a tie-break for equal rows), after keep."""
+    tie = F.xxhash64(*row_id) if row_id else F.lit(0).cast("long")
+    found = rows.select(*keep, F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size"), tie.alias("_tie"))
+    return found.withColumn("_hash", F.xxhash64("_key", "_size"))
+
+
+def _sources(spark, sized: DataFrame, share: float, ceiling: float) -> tuple[DataFrame, int]:
+    """One row per source with its target, schedule and number of buckets; and the number of sources."""
+    totals = sorted(((r[0], r[1], r[2]) for r in sized.groupBy("_source").agg(F.sum("_size"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    targets = fill([r[1] for r in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))], share, ceiling)
     rows = [
-        (i, name, size, target, max(1, -(-n // BUCKET_ROWS)), *SCHEDULES[i % len(WEIGHTS)])
+        (i, name, size, target, -(-n // BUCKET_ROWS), *SCHEDULES[i % len(WEIGHTS)])
         for i, ((name, size, n), target) in enumerate(zip(totals, targets, strict=True))
     ]
     names = ", ".join(f"w{k} double" for k in range(len(KNOTS)))
-    table = docs.sparkSession.createDataFrame(rows, f"source_index long, _name string, source_size long, target double, _buckets long, {names}")
-    table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
-    high = F.shiftrightunsigned(F.xxhash64(F.col("_key"), F.col("size")), 33)
-    named = sized.join(table, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_hash", F.xxhash64("_key", "size"))
-    named = named.withColumn("_bucket", F.shiftright(high * F.col("_buckets"), 31))
-    sums = named.groupBy("source_index", "_bucket").agg(F.sum("size").alias("_sum"))
-    earlier = Window.partitionBy("source_index").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_index", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source_index", "_bucket").orderBy(F.shiftrightunsigned("_hash", 33), "_hash", "_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.join(sums, ["source_index", "_bucket"]).withColumn("place", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    table = spark.createDataFrame(rows, f"source_index long, _name string, source_size long, target double, _buckets long, {names}")
     # of the stream that repeats the source, target words are taken: whole rounds, then a part of one more
     rounds = F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    extra = F.round(F.col("target")).cast("long") - rounds * F.col("source_size")
-    part = F.greatest(F.least(extra - F.col("place"), F.col("size")), F.lit(0)).cast("long")
-    if whole:
-        part = F.when(2 * (extra - F.col("place")) > F.col("size"), F.col("size")).otherwise(F.lit(0)).cast("long")
-    copies = rounds.cast("int") + F.when(part > 0, 1).otherwise(0)
+    table = table.withColumn("_rounds", rounds).withColumn("_extra", F.round("target").cast("long") - F.col("_rounds") * F.col("source_size"))
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table, len(rows)
+
+
+def _before(named: DataFrame, buckets: Column) -> DataFrame:
+    """(source_index, _bucket, _sum, _before): words of each bucket, and of the source's buckets before it."""
+    sums = named.groupBy("source_index", _bucket(F.col("_hash"), buckets).alias("_bucket")).agg(F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("source_index").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("source_index", "_bucket", "_sum", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+
+
+def _placed(named: DataFrame) -> DataFrame:
+    """named with `place`: the words of the source that come before the row."""
+    named = named.withColumn("_bucket", _bucket(F.col("_hash"), F.col("_buckets")))
+    inside = Window.partitionBy("source_index", "_bucket").orderBy(_high(F.col("_hash")), "_hash", "_key", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    sums = _before(named, F.col("_buckets")).drop("_sum")
+    return named.join(sums, ["source_index", "_bucket"]).withColumn("place", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+
+
+def _demand(place: Column) -> Column:
+    return F.least(F.coalesce(F.try_divide(place, F.col("target")), F.lit(0.0)), F.lit(1.0))
+
+
+def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+    """Per row of docs: key, size, source_size, target, copies, taken, position.
+
+    taken: words that the mix takes; a source's last copy ends inside a document, where its target is met.
+    position: training time of the first copy (null if none); a later copy is met when the stream comes round.
+    Null text: size 0. Null source: one source, ordered last. Null or repeated keys: rows of their own; equal rows
+    may change places with each other. Empty table: empty result.
+    """
+    sized = materialize(_sized(docs.select(key, source, text), key, source, text, ()), "sizes")
+    table, _ = _sources(docs.sparkSession, sized, share, ceiling)
+    placed = _placed(sized.join(table, F.col("_source").eqNullSafe(F.col("_name"))))
+    part = F.greatest(F.least(F.col("_extra") - F.col("place"), F.col("_size")), F.lit(0))
+    copies = F.col("_rounds").cast("int") + F.when(part > 0, 1).otherwise(0)
     return placed.select(
-        F.col("_key").alias(key), *row_id, "source_index", "size", "source_size", "target", "place", copies.alias("copies"),
-        (rounds * F.col("size") + part).cast("long").alias("taken"),
-        F.when(copies > 0, _time(F.coalesce(F.try_divide(F.col("place"), F.col("target")), F.lit(0.0)))).alias("position"), *[f"w{k}" for k in range(len(KNOTS))],
+        F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"),
+        (F.col("_rounds") * F.col("_size") + part).cast("long").alias("taken"), F.when(copies > 0, _time(_demand(F.col("place")))).alias("position"),
     )
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
-    """The training stream: docs' columns, each document as often as the plan takes it (never cut), sorted by position."""
+    """The training stream: docs' columns, each document as often as the mix takes it, range-sorted by training time.
+
+    Documents are never cut: a source's last copy is whole if more than half of it is wanted. Texts are shuffled
+    once, by the sort: rows meet their source's last row in hash order and their bucket's prefix sum by broadcast,
+    both of bounded size; inside a bucket, places follow the hash. Edge rows are treated as in plan().
+    """
     rows = with_row_id(docs, "mix")
-    chosen = plan(rows, key, source, text, share, ceiling, whole=True, row_id=ROW_ID).filter("copies > 0")
-    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_copy")
-    times = chosen.select(*ROW_ID, "place", "source_size", "target", *[f"w{k}" for k in range(len(KNOTS))], copy)
-    at = _time(F.least(F.coalesce(F.try_divide(F.col("place") + F.col("_copy") * F.col("source_size"), F.col("target")), F.lit(0.0)), F.lit(1.0)))
-    times = times.select(*[F.col(c).alias(f"_p{c}") for c in ROW_ID], at.alias("_position"))
-    joined = rows.join(times, (F.col(ROW_ID[0]) == F.col(f"_p{ROW_ID[0]}")) & (F.col(ROW_ID[1]) == F.col(f"_p{ROW_ID[1]}")))
-    return joined.orderBy("_position", *ROW_ID).select(*docs.columns)
+    whole = _sized(rows, key, source, text, ROW_ID, F.struct(*docs.columns).alias("_row"))
+    sized = materialize(_sized(rows.select(key, source, text, *ROW_ID), key, source, text, ROW_ID), "sizes")
+    table, n = _sources(docs.sparkSession, sized, share, ceiling)
+    order = F.struct(_high(F.col("_hash")), "_hash", "_key", "_size", "_tie")
+    named = sized.join(table, F.col("_source").eqNullSafe(F.col("_name")))
+    wanted = F.col("_size") > 2 * (F.col("place") + F.col("_size") - F.col("_extra"))
+    last = _placed(named).filter(wanted).groupBy("source_index").agg(F.max(order).alias("_last"))
+    coarse = F.least(F.col("_buckets"), F.lit(max(1, BROADCAST_BUCKETS // max(1, n))))
+    sums = _before(named, coarse)
+    if n <= BROADCAST_SOURCES:
+        last, sums = F.broadcast(last), F.broadcast(sums)
+    found = whole.join(table, F.col("_source").eqNullSafe(F.col("_name"))).join(last, "source_index", "left")
+    found = found.withColumn("_bucket", _bucket(F.col("_hash"), coarse)).join(sums, ["source_index", "_bucket"])
+    copies = F.col("_rounds").cast("int") + F.when(order <= F.col("_last"), 1).otherwise(0)
+    inside = _high(F.col("_hash")) * coarse / F.lit(float(1 << 31)) - F.col("_bucket")
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).filter(copies > 0)
+    place = F.col("_before") + inside * F.col("_sum") + (F.col("_copy") - 1) * F.col("source_size")
+    return found.withColumn("_position", _time(_demand(place))).select("_row", "_position", "_hash", "_tie").orderBy("_position", "_hash", "_tie").select("_row.*")
