@@ -186,10 +186,9 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text", p: Risk = Risk()) -> DataFrame:
     """The rows of docs that the rules keep, all columns unchanged; no join by key, so repeated keys do no harm.
 
-    Texts are measured once for labelled documents and once for the verdicts. The other cases as for assess().
+    Texts are measured once for the holdout and once for the verdicts; none is shuffled. The other cases as for assess().
     """
-    known = labels.select(F.col(key).alias("_key")).filter("_key is not null").distinct()
-    held = docs.select(key, stratum, text).join(known, F.col(key) == F.col("_key"), "left_semi")
-    chosen = choose(holdout_counts(measure(held, text), labels, key, stratum, p).collect(), p)
+    measured = materialize(measure(docs.select(key, stratum, text), text), "quality")
+    chosen = choose(holdout_counts(measured, labels, key, stratum, p).collect(), p)
     rows = measure(docs.select(F.struct(*docs.columns).alias("_row"), F.col(stratum).alias("_stratum")), text, "_row")
     return rows.filter(~base_failed(p) & ~rejected(chosen, "_stratum")).select("_row.*")
