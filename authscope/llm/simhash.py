@@ -23,35 +23,66 @@ from authscope.llm.common import materialize, release, small_batches
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Majority fingerprint of the text's word shingles; 0 without words."""
+#: Lanes of 64 bits of a wide fingerprint, and the differing bits up to which two of them pass for near copies:
+#: bits differ as the angle between shingle counts; a Jaccard similarity of 0.8 means 78 of 512 (deviation 8).
+LANES, WIDE_LIMIT = 8, 84
+#: Rounds of the near-copy stage: differing bits of the narrow fingerprint. Each round links representatives of
+#: the last one's groups only, so a dense group never gives all its pairs.
+ROUNDS = (4, 11)
+
+
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """XXH64 of the text's word shingles, repeats included; of all words if they are fewer; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     joined, n = b" ".join(words), len(words)
     if n < width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[:-1]])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(starts[: n - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
-    counts, total = np.zeros(64, np.int64), len(hashes)
-    for at in range(0, total, 1 << 16):  # bounded memory for very long texts
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
-    """Every row's other columns with `fp` (the 64 bits as a signed long); null text has fingerprint 0."""
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-1]])
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[i:j], SEED) for i, j in zip(starts[: n - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(hashes: list[int], lanes: int = 1) -> np.ndarray:
+    """Fingerprint of `lanes` longs: a bit is set if it is in over half the hashes; lanes after the first mix them anew."""
+    counts, total = np.zeros((lanes, 64), np.int64), len(hashes)
+    for at in range(0, total, 1 << 14):  # bounded memory for very long texts
+        part = np.array(hashes[at : at + (1 << 14)], dtype="<u8")
+        for lane in range(lanes):
+            x = part
+            if lane:
+                x = part + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+            counts[lane] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8").ravel().view("<i8")
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Majority fingerprint of the text's word shingles, unsigned; 0 without words."""
+    return int(majority(shingle_hashes(text, width)).view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, wide: bool = False) -> DataFrame:
+    """Every row's other columns with `fp` (64 bits as a signed long) and, if asked for, `wide` (LANES more longs).
+
+    Null text has fingerprint 0.
+    """
     keep = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType(), False)])
+    extra = [T.StructField("wide", T.ArrayType(T.LongType(), False), False)] * wide
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType(), False), *extra])
+    lanes = 1 + LANES * wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), width) for x in batch.column(0)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.int64())], names=[*keep, "fp"])
+            found = np.array([majority(shingle_hashes(x.as_py(), width), lanes) for x in batch.column(0)], dtype=np.int64).reshape(-1, lanes)
+            arrays = [*batch.columns[1:], pa.array(found[:, 0])]
+            if wide:
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, LANES * len(found) + 1, LANES), pa.int32()), pa.array(found[:, 1:].ravel())))
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*(batch.schema.field(c) for c in keep), pa.field("fp", pa.int64(), False), *[pa.field("wide", pa.list_(pa.int64()), False)] * wide]))
 
     small_batches(docs.sparkSession)
     return docs.select(text, *keep).mapInArrow(run, schema)
@@ -140,13 +171,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     return fps.join(named, "fp").select(F.col("doc_key").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4, width: int = 4) -> DataFrame:
-    """docs without all but one document of each near-duplicate component; the columns stay as they are.
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: tuple[int, ...] = ROUNDS, width: int = 5, limit: int = WIDE_LIMIT) -> DataFrame:
+    """One row per row of docs: key, component_id (the smallest key of its group of near copies).
+
+    Groups hold texts whose five-word shingles are similar by 0.8 or more, in chains: rounds of links() find
+    candidates, first close ones, then among the groups' representatives wider ones; a link holds if the wide
+    fingerprints agree too. Rows are treated as by near_duplicates().
+    """
+    fps = materialize(fingerprints(docs.select(F.col(key).alias("doc_key"), F.col(text).alias("body")), "body", width, True), "fp")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_key").alias("least"), F.min("wide").alias("wide")), "fpclass")
+    members = nodes.select("fp", F.col("fp").alias("rep"))
+    for bits in rounds:
+        a, b = (nodes.select(F.col("fp").alias(x), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+        pairs = links(nodes.select("fp"), bits).join(a, "a").join(b, "b")
+        apart = sum((F.bit_count(F.get("wide_a", F.lit(i)).bitwiseXOR(F.get("wide_b", F.lit(i)))) for i in range(1, LANES)), F.bit_count(F.get("wide_a", F.lit(0)).bitwiseXOR(F.get("wide_b", F.lit(0)))))
+        tree = components(pairs.filter(apart <= limit).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        step = materialize(nodes.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", "wide", F.coalesce("root", "fp").alias("to")), "fpround")
+        members = members.join(step.select(F.col("fp").alias("rep"), "to"), "rep").select("fp", F.col("to").alias("rep"))
+        nodes = step.groupBy(F.col("to").alias("fp")).agg(F.min("least").alias("least"), F.first(F.when(F.col("fp") == F.col("to"), F.col("wide")), ignorenulls=True).alias("wide"))
+        nodes = materialize(nodes, "fpnodes")
+    named = members.join(nodes.select(F.col("fp").alias("rep"), F.col("least").alias("component_id")), "rep")
+    return fps.select("doc_key", "fp").join(named, "fp").select(F.col("doc_key").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: tuple[int, ...] = ROUNDS, width: int = 5, limit: int = WIDE_LIMIT) -> DataFrame:
+    """docs without all but one document of each group of near copies; the columns stay as they are.
 
     The document with the smallest key stays; of rows that share that key the one with the smallest text.
     Rows with a null key have no identity to drop by: all of them stay. Empty table: empty result.
     """
-    classes = near_duplicates(docs, key, text, bits, width)
+    classes = similar_groups(docs, key, text, rounds, width, limit)
     stays = classes.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_stay")).agg((F.count("*") > 1).alias("_many"))
     kept = docs.join(stays, F.col(key) == F.col("_stay"))
     rest = [c for c in docs.columns if c not in (key, text)]

@@ -184,6 +184,25 @@ def test_dedup_keeps_one_of_each_group_and_every_other_row(spark):
     assert simhash.keep_one(clash(spark)).columns == clash(spark).columns
 
 
+def test_near_copies_are_grouped_by_jaccard(spark):
+    rng, rows, expected = random.Random(21), [], {}
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    for g in range(120):
+        base = [word() for _ in range(rng.randint(150, 500))]
+        for _ in range(rng.randint(1, 4)):
+            other = list(base)
+            for at in rng.sample(range(len(other)), rng.choice([0, 1, 2, 3])):
+                other[at] = word()
+            rows.append((len(rows), " ".join(other), "en", "s", 0))
+            expected.setdefault(g, []).append(len(rows) - 1)
+    shingles = [frozenset(tuple(r[1].split()[i : i + 5]) for i in range(len(r[1].split()) - 4)) for r in rows]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    near = [(a, b) for ids in expected.values() for a in ids for b in ids if a < b and len(shingles[a] & shingles[b]) >= 0.85 * len(shingles[a] | shingles[b])]
+    assert sum(found[a] == found[b] for a, b in near) >= 0.95 * len(near) > 50
+    group = {d: g for g, ids in expected.items() for d in ids}
+    assert all(group[d] == group[c] for d, c in found.items())  # strangers never meet
+
+
 # quality
 
 
