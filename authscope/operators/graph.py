@@ -44,26 +44,30 @@ def _cut(df: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(src, dst, hops, path, weights, any_redteam) for user pairs that are connected within max_hops, undirected.
 
-    A breadth-first search for all pairs at once, one join a hop; of equally short paths the smallest by name is
-    taken. What a pair has visited is left out, so the frontier never grows beyond the graph for a pair.
+    One breadth-first search for every source, a join a hop; of equally short paths the smallest by name is taken.
+    What a source has visited is left out, and a source whose pairs are all found rests.
     """
     step = edges.select(F.col("user").alias("_from"), F.col("computer").alias("_to"), "count", "is_redteam")
     step = step.unionByName(edges.select(F.col("computer").alias("_from"), F.col("user").alias("_to"), "count", "is_redteam"))
+    step = _cut(step)
     pairs = pairs.select("src", "dst").distinct()
-    front = pairs.withColumns({"node": F.col("src"), "path": F.array("src"), "weights": F.array().cast("array<bigint>"), "any_redteam": F.lit(False)})
-    seen, found = front.select("src", "dst", "node"), front.filter("src = dst").withColumn("hops", F.lit(0))
-    front = front.filter("src <> dst")
+    front = pairs.select("src").distinct().withColumns({"node": F.col("src"), "path": F.array("src"), "weights": F.array().cast("array<bigint>"), "any_redteam": F.lit(False)})
+    seen = front.select("src", "node")
+    found = front.join(pairs.filter("src = dst"), "src").withColumn("hops", F.lit(0))
+    left = pairs.filter("src <> dst")
     for hop in range(1, max_hops + 1):
-        moved = front.join(step, F.col("node") == F.col("_from")).select(
-            "src", "dst", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"), F.concat("weights", F.array("count")).alias("weights"),
+        moved = front.join(left.select("src").distinct(), "src", "left_semi").join(step, F.col("node") == F.col("_from")).select(
+            "src", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"), F.concat("weights", F.array("count")).alias("weights"),
             (F.col("any_redteam") | F.col("is_redteam")).alias("any_redteam"),
         )
-        moved = moved.join(seen, ["src", "dst", "node"], "left_anti")
-        best = _cut(moved.groupBy("src", "dst", "node").agg(F.min(F.struct("path", "weights", "any_redteam")).alias("b")).select("src", "dst", "node", "b.*"))
-        arrived = best.filter("node = dst").withColumn("hops", F.lit(hop))
-        found = found.unionByName(arrived)
-        front = best.join(arrived.select("src", "dst"), ["src", "dst"], "left_anti")
-        seen = seen.unionByName(best.select("src", "dst", "node"))
+        moved = moved.join(seen, ["src", "node"], "left_anti")
+        front = _cut(moved.groupBy("src", "node").agg(F.min(F.struct("path", "weights", "any_redteam")).alias("b")).select("src", "node", "b.*"))
+        arrived = front.join(left.withColumnRenamed("dst", "node"), ["src", "node"]).withColumns({"dst": F.col("node"), "hops": F.lit(hop)})
+        found = found.unionByName(arrived.select(*found.columns))
+        left = _cut(left.join(arrived.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if left.isEmpty() or front.isEmpty():
+            break
+        seen = seen.unionByName(front.select("src", "node"))
     return found.select("src", "dst", "hops", "path", "weights", "any_redteam")
 
 

@@ -48,9 +48,11 @@ def vectors(made: DataFrame) -> DataFrame:
     names = feature_names()
     stats = made.agg(*[F.mean(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
     z = [(F.col(n) - F.col(f"m_{n}")) / F.when(F.col(f"s_{n}") > 0, F.col(f"s_{n}")).otherwise(1.0) for n in names]
-    raw = made.crossJoin(F.broadcast(stats)).select(*DAY, F.array(*z).alias("raw"))  # one row of statistics
-    norm = F.sqrt(X.dot(F.col("raw"), F.col("raw")))
-    return raw.withColumn("_norm", F.when(norm > 0, norm).otherwise(1.0)).select(*DAY, F.transform("raw", lambda x: x / F.col("_norm")).cast("array<float>").alias("vector"))
+    z = made.crossJoin(F.broadcast(stats)).select(*DAY, *[c.alias(n) for c, n in zip(z, names, strict=True)])  # one row of statistics
+    norm = F.sqrt(sum((F.col(n) * F.col(n) for n in names[1:]), F.col(names[0]) * F.col(names[0])))
+    z = z.withColumn("_norm", norm)
+    length = F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)
+    return z.select(*DAY, F.array(*[(F.col(n) / length).cast("float") for n in names]).alias("vector"))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_type: str = "long", block_rows: int = 20_000) -> DataFrame:

@@ -63,14 +63,16 @@ def _embedded(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    users, computers, edges = t.graph
-    return users.filter("is_compromised").select(F.col("name").alias("src")).crossJoin(
-        F.broadcast(users.orderBy(F.desc("name")).limit(3).select(F.col("name").alias("dst")))  # three rows
-    ).filter("src <> dst")
+    """The six users with most labelled edges, each with those that follow among the first fourteen."""
+    users, _, edges = t.graph
+    names = [r["name"] for r in graph.top_attackers(users, edges, 14).collect()]
+    return t.spark.createDataFrame(graph.path_pairs(names[:6], names[6:], 100), "src string, dst string")
 
 
 def _starts(t: Tables) -> DataFrame:
-    return t.graph[0].filter("is_compromised").select("name")
+    """Eight users with most labelled edges, and a control group."""
+    users, _, edges = t.graph
+    return graph.top_attackers(users, edges, 8).select("name").unionByName(graph.control_group(users, edges, skip=5).select("name"))
 
 
 def _anomalies(t: Tables) -> DataFrame:
@@ -244,6 +246,7 @@ _CTES = {
     "users": """select "user" as name, "user" in (select "user" from marks) as is_compromised, regexp_matches("user", '\\$@') as is_machine from (select distinct "user" from edges)""".replace("\\\\", "\\"),
     "hosts": """select computer as name, computer in (select src_computer from marks) as is_redteam_pivot, computer in (select dst_computer from marks) as is_redteam_target
   from (select distinct computer from edges)""",
+    "top14": """select "user" as name, row_number() over (order by count(*) desc, "user") as r from edges where is_redteam group by 1 order by 2 limit 14""",
     "human": "select m.* from mart m join who w on m.identity_key = w.identity_key where not w.is_machine_account",
 }
 
@@ -342,8 +345,9 @@ _SQL = {
     "graph_edges": _sql("select * from edges"),
     "graph_counts": _sql("select (select count(*) from users) as users, (select count(*) from hosts) as computers, count(*) as edges, count(*) filter (is_redteam) as redteam_edges from edges"),
     "graph_blast_radius": _sql("""select s.name as start, count(distinct e1.computer) as hop1_hosts, count(distinct e2."user") as hop2_peers, count(distinct e3.computer) as hop3_hosts
-  from users s join edges e1 on e1."user" = s.name left join edges e2 on e2.computer = e1.computer and e2."user" <> s.name
-  left join edges e3 on e3."user" = e2."user" and e3.computer <> e1.computer where s.is_compromised group by 1"""),
+  from (select name from top14 where r <= 8 union all select * from (select "user" as name from edges join users on "user" = name where not is_compromised and not is_machine group by 1 order by count(*) desc, 1 limit 8 offset 5)) s
+  join edges e1 on e1."user" = s.name left join edges e2 on e2.computer = e1.computer and e2."user" <> s.name
+  left join edges e3 on e3."user" = e2."user" and e3.computer <> e1.computer group by 1"""),
     "graph_movement": _sql("""select "user" as attacker_identity, computer as compromised_host, "count" as auth_events_on_edge, success_ratio, first_seen as first_seen_seconds from edges where is_redteam"""),
     "graph_attacker_footprint": _sql("""select "user" as identity, count(*) filter (is_redteam) as hosts_via_redteam_edges, count(*) as hosts_total_footprint, round(100.0::double * count(*) filter (is_redteam) / count(*), 1) as pct_of_footprint_that_was_attack
   from edges where "user" in (select name from users where is_compromised) group by 1 order by 2 desc, 1 limit 25"""),
@@ -382,9 +386,9 @@ _SQL |= {
   round(ln(1 + count(distinct dst_computer)), 6) as log_distinct_dst, round(ln(1 + count(distinct src_computer)), 6) as log_distinct_src, round(ln(1 + coalesce(any_value(f.n), 0)), 6) as log_new_dst,
   round(count(*) filter (is_failure)::double / count(*), 6) as failure_ratio, {_share_sql()}, bool_or(src_is_machine)::int::double as is_machine
   from auth a left join fresh f on a.src_user = f.src_user and a.event_date = f.event_date where a.src_user is not null group by 1, 2"""),
-    "graph_shortest_paths": _sql("""select src, dst, min(hop)::int as hops from reach join (select name as dst from users order by name desc limit 3) on node = dst where src <> dst group by 1, 2""").replace(
+    "graph_shortest_paths": _sql("""select src, dst, min(hop)::int as hops from reach join top14 a on a.name = src join (select name as dst, r from top14) b on node = dst where a.r < b.r group by 1, 2""").replace(
         "\nselect src, dst", """,
-reach as (select name as src, name as node, 0 as hop from users where is_compromised
+reach as (select name as src, name as node, 0 as hop from top14 where r <= 6
   union select src, t, hop + 1 from reach join (select "user" as f, computer as t from edges union all select computer, "user" from edges) on node = f where hop < 6)
 select src, dst"""),
 }
