@@ -46,9 +46,9 @@ def features(events: DataFrame, daily: DataFrame) -> DataFrame:
 def vectors(made: DataFrame) -> DataFrame:
     """Standardised by the population's mean and deviation, then of unit length; without spread the deviation is 1."""
     names = feature_names()
-    stats = made.agg(*[F.mean(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
-    z = [(F.col(n) - F.col(f"m_{n}")) / F.when(F.col(f"s_{n}") > 0, F.col(f"s_{n}")).otherwise(1.0) for n in names]
-    z = made.crossJoin(F.broadcast(stats)).select(*DAY, *[c.alias(n) for c, n in zip(z, names, strict=True)])  # one row of statistics
+    flat = made.select(F.posexplode(F.array(*names)).alias("at", "x")).groupBy("at").agg(F.mean("x").alias("mean"), F.stddev_pop("x").alias("deviation"))
+    stats = {r["at"]: (r["mean"], r["deviation"] or 1.0) for r in flat.collect()}  # a row per dimension
+    z = made.select(*DAY, *[((F.col(n) - F.lit(stats.get(i, (0.0, 1.0))[0])) / F.lit(stats.get(i, (0.0, 1.0))[1])).alias(n) for i, n in enumerate(names)])
     norm = F.sqrt(sum((F.col(n) * F.col(n) for n in names[1:]), F.col(names[0]) * F.col(names[0])))
     z = z.withColumn("_norm", norm)
     length = F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)
