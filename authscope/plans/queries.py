@@ -290,7 +290,7 @@ def _preset_sql(name: str) -> str:
 
 
 _MART_ROUNDED = "failure_ratio off_hours_share fanout_baseline_mean fanout_baseline_stddev failure_ratio_baseline_mean failure_ratio_baseline_stddev off_hours_share_baseline_mean fanout_zscore failure_ratio_zscore".split()
-_DAILY_SQL = f"select {', '.join(c if c not in _MART_ROUNDED else f'round({c}, 6) as {c}' for c in _MART_COLUMNS)} from daily"
+_DAILY_SQL = f"select {', '.join(c if c not in _MART_ROUNDED else f'case when round({c}, 6) = 0 then 0::double else round({c}, 6) end as {c}' for c in _MART_COLUMNS)} from daily"
 _SESSION_SQL = """(select src_user, src_computer, s, min(time) as session_start, max(time) as session_end, count(*) as event_count, count(distinct dst_computer) as distinct_destinations,
   sum(is_success::int)::bigint as success_count, min(event_date) as event_date from (
     select *, sum(n) over (partition by src_user, src_computer order by time rows unbounded preceding) as s from (
