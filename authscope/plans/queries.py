@@ -290,7 +290,7 @@ def _preset_sql(name: str) -> str:
 
 
 _MART_ROUNDED = "failure_ratio off_hours_share fanout_baseline_mean fanout_baseline_stddev failure_ratio_baseline_mean failure_ratio_baseline_stddev off_hours_share_baseline_mean fanout_zscore failure_ratio_zscore".split()
-_DAILY_SQL = f"select {', '.join(c if c not in _MART_ROUNDED else f'case when round({c}, 6) = 0 then 0::double else round({c}, 6) end as {c}' for c in _MART_COLUMNS)} from daily"
+_DAILY_SQL = f"select {', '.join(c if c not in _MART_ROUNDED else f'round({c}, 6) as {c}' for c in _MART_COLUMNS)} from daily"
 _SESSION_SQL = """(select src_user, src_computer, s, min(time) as session_start, max(time) as session_end, count(*) as event_count, count(distinct dst_computer) as distinct_destinations,
   sum(is_success::int)::bigint as success_count, min(event_date) as event_date from (
     select *, sum(n) over (partition by src_user, src_computer order by time rows unbounded preceding) as s from (
@@ -311,7 +311,7 @@ _SQL = {
     "rollup": _sql(_DAILY_SQL),
     "rollup_naive": _sql(_DAILY_SQL),
     "rollup_stats": _sql('select count(*) as "rows", count(distinct src_user) as identities, sum(is_redteam_day::int)::bigint as redteam_days, max(distinct_dst_computers) as max_fanout, min(event_date) as first_date, max(event_date) as last_date from daily'),
-    "daily_mart": _sql(f"select * replace ({', '.join(f'round({c}, 6) as {c}' for c in _MART_ROUNDED)}) from mart"),
+    "daily_mart": _sql(f"select * replace ({', '.join(f'case when round({c}, 6) = 0 then 0::double else round({c}, 6) end as {c}' for c in _MART_ROUNDED)}) from mart"),
     "fact": _sql("""select time, src_user, src_computer, dst_computer, event_date, hour_of_day, event_ts, auth_type, logon_type, auth_orientation, 1 as event_count, coalesce(is_success, false)::int as success_count,
   coalesce(is_failure, false)::int as failure_count, hour_of_day in (0, 1, 2, 3, 4, 5) as is_off_hours,
   exists (select 1 from marks m where m.time = a.time and m."user" = a.src_user and m.src_computer = a.src_computer and m.dst_computer = a.dst_computer) as is_redteam_event from auth a where src_user is not null"""),
