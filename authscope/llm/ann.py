@@ -128,6 +128,18 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def nearest_ids(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest distinct ids, each at its nearest row, by distance and then id; rows repeat ids freely."""
+    rows = k
+    while True:
+        near = np.flatnonzero(d <= np.partition(d, rows - 1)[rows - 1]) if rows < len(d) else np.arange(len(d))
+        near = near[np.lexsort((ids[near], d[near]))]
+        first = np.sort(np.unique(ids[near], return_index=True)[1])
+        if len(first) >= k or len(near) == len(d):
+            return near[first[:k]]
+        rows *= 4
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", p: Forest = Forest()) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found rows, by Euclidean distance, ties to smaller vec_id.
 
@@ -200,11 +212,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
                 if some.size:
                     d = x[some] - np.asarray(q, dtype=np.float64)
                     d = np.sqrt(np.einsum("ij,ij->i", d, d))
-                    if some.size > k:
-                        near = d <= np.partition(d, k - 1)[k - 1]
-                        some, d = some[near], d[near]
-                    order = np.lexsort((ids[some], d))[: 4 * k]
-                    order = order[np.sort(np.unique(ids[some][order], return_index=True)[1])][:k] if len(order) else order
+                    order = nearest_ids(ids[some], d, k)
                     out += [(query, ids[some[o]], d[o]) for o in order]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

@@ -465,6 +465,17 @@ def test_nearest_in_small_and_empty_tables(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [lambda i: 2, lambda i: 1000 if i == 7 else 1])
+def test_nearest_counts_repeated_ids_once(spark, copies):
+    x = np.random.default_rng(14).standard_normal((400, 8))
+    x[7] = x[0]  # next to the query
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) for _ in range(copies(i))], "vec_id long, embedding array<double>")
+    p = ann.Forest(trees=2, share=9.0, block_rows=4096)
+    got = [r["vec_id"] for r in ann.nearest(vectors, vectors.filter("vec_id = 0").limit(1), p=p).orderBy("rank").collect()]
+    d = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    assert got == [i for _, i in sorted((s, i) for i, s in enumerate(d) if i)][:10]
+
+
 # language
 
 
