@@ -100,15 +100,13 @@ class Encoder:
 
     def texts(self, texts: list[str | None]) -> list:
         """The value of every whole text: the sum, or the ids joined."""
-        out, held = [], []  # held: pieces of each text that is a single block
-        for t in texts:
-            held.append(self.split(t) if t and len(t) <= BLOCK_CHARS else [])
+        long = [bool(t) and len(t) > BLOCK_CHARS for t in texts]
+        held = [self.split(t) if t and not far else [] for t, far in zip(texts, long, strict=True)]
         fresh = self.learn(set().union(*held))
-        for t, pieces in zip(texts, held, strict=True):
-            if t and not pieces:  # a long text, block by block
-                out.append(self._join([self._block(self.split(block)) for block in safe_blocks(t, BLOCK_CHARS)]))
-            else:
-                out.append(self._look_up(pieces, fresh))
+        # short texts are looked up before a long one makes learn() forget what they rely on
+        out = [None if far else self._look_up(pieces, fresh) for pieces, far in zip(held, long, strict=True)]
+        for i in np.flatnonzero(long).tolist():  # block by block
+            out[i] = self._join([self._block(self.split(block)) for block in safe_blocks(texts[i], BLOCK_CHARS)])
         return out
 
     def _block(self, pieces: list[str]):

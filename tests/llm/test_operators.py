@@ -109,6 +109,19 @@ def test_differencing_is_near_equal_and_raises_the_window_count():
     assert packing.windows([]) == []
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_long_text_between_short_ones_with_a_tiny_memory(monkeypatch, packed):
+    path = public_tokenizers.path("word_bpe_49k.json" if packed else "byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 60)
+    encoder = tokens.Encoder(path, packed)
+    one, two, long = "one two three", "one two three four five six", "far longer text of many words " * 6
+    library = Tokenizer.from_file(path)
+    for batch in ([one], [two, long, two, None, one], [one], [two, "  \n ", one, long, two]):
+        ids = [library.encode(t or "", add_special_tokens=False).ids for t in batch]
+        assert encoder.texts(batch) == [np.array(x, "<u4").tobytes() if packed else len(x) for x in ids]
+
+
 # near duplicates
 
 
