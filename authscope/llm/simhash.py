@@ -18,17 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import materialize, release, small_batches
+from authscope.llm.common import ROW_ID, materialize, release, small_batches, with_row_id
 
 SEED = 42
 
 
-#: Lanes of 64 bits of a wide fingerprint, and the differing bits up to which two of them pass for near copies:
-#: bits differ as the angle between shingle counts; a Jaccard similarity of 0.8 means 78 of 512 (deviation 8).
-LANES, WIDE_LIMIT = 8, 84
-#: Rounds of the near-copy stage: differing bits of the narrow fingerprint. Each round links representatives of
-#: the last one's groups only, so a dense group never gives all its pairs.
-ROUNDS = (4, 11)
+#: Jaccard similarity of two texts' sets of shingles from which they are near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Rows (expected) that frequent shingles are counted on, shingles taken for frequent at most, and rows that make one frequent.
+SAMPLE_ROWS, FREQUENT, FREQUENT_FROM = 8192, 1 << 16, 3
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -45,20 +43,13 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
     return [digest(joined[i:j], SEED) for i, j in zip(starts[: n - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def majority(hashes: list[int], lanes: int = 1) -> np.ndarray:
-    """Fingerprint of `lanes` longs: a bit is set if it is in over half the hashes; lanes after the first mix them anew."""
-    counts, total = np.zeros((lanes, 64), np.int64), len(hashes)
+def majority(hashes: list[int]) -> np.ndarray:
+    """Fingerprint, one long: a bit is set if it is in over half the hashes."""
+    counts, total = np.zeros(64, np.int64), len(hashes)
     for at in range(0, total, 1 << 14):  # bounded memory for very long texts
         part = np.array(hashes[at : at + (1 << 14)], dtype="<u8")
-        for lane in range(lanes):
-            x = part
-            if lane:
-                x = part + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                x ^= x >> np.uint64(31)
-            counts[lane] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8").ravel().view("<i8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > total, bitorder="little").view("<i8")
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -66,23 +57,18 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(majority(shingle_hashes(text, width)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, wide: bool = False) -> DataFrame:
-    """Every row's other columns with `fp` (64 bits as a signed long) and, if asked for, `wide` (LANES more longs).
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
+    """Every row's other columns with `fp` (64 bits as a signed long).
 
     Null text has fingerprint 0.
     """
     keep = [c for c in docs.columns if c != text]
-    extra = [T.StructField("wide", T.ArrayType(T.LongType(), False), False)] * wide
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType(), False), *extra])
-    lanes = 1 + LANES * wide
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([majority(shingle_hashes(x.as_py(), width), lanes) for x in batch.column(0)], dtype=np.int64).reshape(-1, lanes)
-            arrays = [*batch.columns[1:], pa.array(found[:, 0])]
-            if wide:
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, LANES * len(found) + 1, LANES), pa.int32()), pa.array(found[:, 1:].ravel())))
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*(batch.schema.field(c) for c in keep), pa.field("fp", pa.int64(), False), *[pa.field("wide", pa.list_(pa.int64()), False)] * wide]))
+            found = [int(majority(shingle_hashes(x.as_py(), width))[0]) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.int64())], names=[*keep, "fp"])
 
     small_batches(docs.sparkSession)
     return docs.select(text, *keep).mapInArrow(run, schema)
@@ -171,36 +157,155 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     return fps.join(named, "fp").select(F.col("doc_key").alias(key), "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: tuple[int, ...] = ROUNDS, width: int = 5, limit: int = WIDE_LIMIT) -> DataFrame:
+def _distinct(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, dtype="<u8"))
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, in one order for all texts, such that two similar sets share one of theirs.
+
+    Shingles that aren't frequent come first, by hash, then frequent ones (sorted hashes), by rank.
+    """
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        place = np.where(frequent[at] == shingles, rank[at] + 1, 0)
+        shingles = shingles[np.argsort(place, kind="stable")]
+    num, den = SIMILAR
+    return shingles[: len(shingles) + (-num * len(shingles)) // den + 1]
+
+
+def shingle_sets(rows: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """(key, shingles): every row's distinct shingles."""
+    schema = T.StructType([rows.schema[key], T.StructField("shingles", T.ArrayType(T.LongType(), False), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_distinct(shingle_hashes(x.as_py(), width)).view("<i8") for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"])
+
+    small_batches(rows.sparkSession)
+    return rows.select(text, key).mapInArrow(run, schema)
+
+
+def frequent_shingles(rows: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; rank of each, rarest first) of shingles that a bounded sample repeats. Only speed depends on them."""
+    part = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
+    some = rows.filter(F.pmod(F.xxhash64(*ROW_ID), F.lit(10**9)) < int(part * 10**9)).select(F.lit(0).alias("one"), text)
+    counts = shingle_sets(some, text, "one", width).select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= FREQUENT_FROM)
+    top = counts.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
+    hashes = np.array([r["s"] for r in top], "<i8").view("<u8")
+    order = np.argsort(hashes)
+    return hashes[order], (len(top) - np.arange(len(top)))[order]
+
+
+def signatures(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """Every row's identity and doc_key with fp, set_id (hash of the set of shingles), its size n, and its prefix."""
+    keep = rows.select(*ROW_ID, F.col(key).alias("doc_key"), F.col(text).alias("body"))
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(keep, "body", width))
+    names = [*ROW_ID, "doc_key"]
+    more = [T.StructField(c, T.LongType(), False) for c in ("fp", "set_id", "n")]
+    schema = T.StructType([*[keep.schema[c] for c in names], *more, T.StructField("prefix", T.ArrayType(T.LongType(), False), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, ids, sizes, first = [], [], [], []
+            for x in batch.column(0):
+                hashes = shingle_hashes(x.as_py(), width)
+                own = _distinct(hashes)
+                fps.append(int(majority(hashes)[0]))
+                ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+                sizes.append(len(own))
+                first.append(prefix(own, *frequent.value).view("<i8"))
+            arrays = [*batch.columns[1:], pa.array(fps, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "fp", "set_id", "n", "prefix"])
+
+    small_batches(rows.sparkSession)
+    return keep.select("body", *names).mapInArrow(run, schema)
+
+
+def possible(shared: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs (u, v) of set ids, each once, of rows that say where a and b (set_id, n, pos) have a shingle in both prefixes.
+
+    Up to the last such place they share as many shingles as there are rows; behind it at most all that are left.
+    Pairs that can't be similar even so go; if a pair's rows are not all there, it may go too.
+    """
+    num, den = SIMILAR
+    pairs = shared.groupBy(F.col(f"{a}.set_id").alias("u"), F.col(f"{b}.set_id").alias("v"), F.col(f"{a}.n").alias("n"), F.col(f"{b}.n").alias("m")).agg(F.count("*").alias("both"), F.max(f"{a}.pos").alias("i"), F.max(f"{b}.pos").alias("j"))
+    most = F.col("both") + F.least(F.expr("n - i - 1"), F.expr("m - j - 1"))
+    return pairs.filter(most * (num + den) >= F.expr("n + m") * num).select("u", "v")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of set ids whose sets are similar."""
+    num, den = SIMILAR
+    a, b = (sets.select(F.col("set_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    return pairs.join(a, "u").join(b, "v").filter(both * (num + den) >= num * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+
+
+def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> DataFrame:
+    """Row identity, doc_key and root (one set id of the group) of every row of a table with row identities.
+
+    Links are pairs of similar sets, by their exact Jaccard similarity; groups are their connected components.
+    Candidates come in two steps. First each set meets one close fingerprint and, for each shingle of its prefix,
+    the smallest set id that has it there: about as many pairs as sets, however dense a group is. Then sets
+    that share a shingle of their prefixes meet unless they are in one group already, so no similar pair is missed.
+    """
+    num, den = SIMILAR
+    fps = materialize(signatures(rows, key, text, width), "fp")
+    nodes = fps.groupBy("set_id").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(*ROW_ID)).alias("row"))
+    nodes = materialize(nodes, "sets")
+    classes = materialize(nodes.groupBy("fp").agg(F.min("set_id").alias("least")), "fpclass")
+    close = links(classes.select("fp"), bits).groupBy("b").agg(F.min("a").alias("a"))
+    least = lambda x: classes.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}"))
+    close = close.join(least("a"), "a").join(least("b"), "b").select(F.col("least_a").alias("u"), F.col("least_b").alias("v"))
+    equal = nodes.select("fp", "set_id").join(classes, "fp").filter("set_id <> least").select(F.col("least").alias("u"), F.col("set_id").alias("v"))
+    index = nodes.select("set_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    met = index.groupBy("shingle").agg(F.min(F.struct("set_id", "n", "pos")).alias("pivot"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    index = materialize(index.join(met, "shingle"), "prefixes")
+    pivots = possible(index.filter("pivot.set_id <> set_id").select("pivot", F.struct("set_id", "n", "pos").alias("own")), "pivot", "own")
+    first = materialize(pivots.union(close).union(equal).distinct(), "pairs")
+    wanted = first.select(F.col("u").alias("set_id")).union(first.select("v")).union(index.select("set_id")).distinct()
+    where = nodes.join(wanted, "set_id", "left_semi").select("set_id", *[F.col(f"row.{c}").alias(c) for c in ROW_ID])
+    sets = materialize(shingle_sets(rows.select(*ROW_ID, F.col(text).alias("body")).join(where, list(ROW_ID)), "body", "set_id", width), "shingles")
+    near = materialize(similar_pairs(first, sets), "near")
+    tree = components(near)
+    index = materialize(index.join(tree, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("root")), "prefixes")
+    a, b = index.alias("a"), index.alias("b")
+    rest = a.join(
+        b,
+        (F.col("a.shingle") == F.col("b.shingle"))
+        & (F.col("a.set_id") < F.col("b.set_id"))
+        & (F.col("a.root") != F.col("b.root"))
+        & (F.col("a.n") * den >= F.col("b.n") * num)
+        & (F.col("b.n") * den >= F.col("a.n") * num),
+    )
+    rest = materialize(possible(rest, "a", "b"), "pairs")
+    found = materialize(similar_pairs(rest, sets), "near")
+    tree = components(near.union(found))
+    for table in (classes, first, rest, sets, index):
+        release(table)
+    return fps.join(tree, F.col("set_id") == F.col("node"), "left").select(*ROW_ID, "doc_key", F.coalesce("root", "set_id").alias("root"))
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4, width: int = 5) -> DataFrame:
     """One row per row of docs: key, component_id (the smallest key of its group of near copies).
 
-    Groups hold texts whose five-word shingles are similar by 0.8 or more, in chains: rounds of links() find
-    candidates, first close ones, then among the groups' representatives wider ones; a link holds if the wide
-    fingerprints agree too. Rows are treated as by near_duplicates().
+    Groups hold texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, in chains.
+    Rows are treated as by near_duplicates().
     """
-    fps = materialize(fingerprints(docs.select(F.col(key).alias("doc_key"), F.col(text).alias("body")), "body", width, True), "fp")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_key").alias("least"), F.min("wide").alias("wide")), "fpclass")
-    members = nodes.select("fp", F.col("fp").alias("rep"))
-    for bits in rounds:
-        a, b = (nodes.select(F.col("fp").alias(x), F.col("wide").alias(f"wide_{x}")) for x in "ab")
-        pairs = links(nodes.select("fp"), bits).join(a, "a").join(b, "b")
-        apart = sum((F.bit_count(F.get("wide_a", F.lit(i)).bitwiseXOR(F.get("wide_b", F.lit(i)))) for i in range(1, LANES)), F.bit_count(F.get("wide_a", F.lit(0)).bitwiseXOR(F.get("wide_b", F.lit(0)))))
-        tree = components(pairs.filter(apart <= limit).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        step = materialize(nodes.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", "wide", F.coalesce("root", "fp").alias("to")), "fpround")
-        members = members.join(step.select(F.col("fp").alias("rep"), "to"), "rep").select("fp", F.col("to").alias("rep"))
-        nodes = step.groupBy(F.col("to").alias("fp")).agg(F.min("least").alias("least"), F.first(F.when(F.col("fp") == F.col("to"), F.col("wide")), ignorenulls=True).alias("wide"))
-        nodes = materialize(nodes, "fpnodes")
-    named = members.join(nodes.select(F.col("fp").alias("rep"), F.col("least").alias("component_id")), "rep")
-    return fps.select("doc_key", "fp").join(named, "fp").select(F.col("doc_key").alias(key), "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: tuple[int, ...] = ROUNDS, width: int = 5, limit: int = WIDE_LIMIT) -> DataFrame:
+    found = materialize(_grouped(with_row_id(docs.select(key, text), "dedup"), key, text, bits, width), "groups")
+    lowest = found.groupBy("root").agg(F.min("doc_key").alias("component_id"))
+    return found.join(lowest, "root").select(F.col("doc_key").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4, width: int = 5) -> DataFrame:
     """docs without all but one document of each group of near copies; the columns stay as they are.
 
     The document with the smallest key stays; of rows that share that key the one with the smallest text.
     Rows with a null key have no identity to drop by: all of them stay. Empty table: empty result.
     """
-    classes = similar_groups(docs, key, text, rounds, width, limit)
+    classes = similar_groups(docs, key, text, bits, width)
     stays = classes.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_stay")).agg((F.count("*") > 1).alias("_many"))
     kept = docs.join(stays, F.col(key) == F.col("_stay"))
     rest = [c for c in docs.columns if c not in (key, text)]

@@ -216,6 +216,28 @@ def test_near_copies_are_grouped_by_jaccard(spark):
     assert all(group[d] == group[c] for d, c in found.items())  # strangers never meet
 
 
+def jaccard(a, b):
+    a, b = (frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_exactly_those_with_a_jaccard_of_four_fifths(spark):
+    rng, rows = random.Random(22), []
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    for n in range(150):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        other = list(base)
+        at = rng.randrange(len(base))  # one run of other words, for similarities of about 0.7 to 0.9
+        length = round(len(base) * rng.uniform(0.05, 0.17))
+        other[at : at + length] = [word() for _ in other[at : at + length]]
+        rows += [(2 * n, " ".join(base), "en", "s", 0), (2 * n + 1, " ".join(other), "en", "s", 0)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    similar = [jaccard(rows[2 * n][1], rows[2 * n + 1][1]) for n in range(150)]
+    assert sum(0.8 <= s < 0.85 for s in similar) > 15 and sum(0.75 <= s < 0.8 for s in similar) > 15
+    assert all(found[2 * n] == 2 * n for n in range(150))
+    assert [found[2 * n + 1] == 2 * n for n in range(150)] == [s >= 0.8 for s in similar]
+
+
 # quality
 
 
