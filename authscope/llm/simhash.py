@@ -300,17 +300,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bit
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4, width: int = 5) -> DataFrame:
-    """docs without all but one document of each group of near copies; the columns stay as they are.
+    """docs without all but one row of each group of near copies; the columns stay as they are.
 
-    The document with the smallest key stays; of rows that share that key the one with the smallest text.
+    The row with the smallest key stays, of rows that share that key the first by file and place in it; a key that
+    several rows share decides nothing about rows of other groups.
     Rows with a null key have no identity to drop by: all of them stay. Empty table: empty result.
     """
-    classes = similar_groups(docs, key, text, bits, width)
-    stays = classes.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_stay")).agg((F.count("*") > 1).alias("_many"))
-    kept = docs.join(stays, F.col(key) == F.col("_stay"))
-    rest = [c for c in docs.columns if c not in (key, text)]
-    single = kept.filter(~F.col("_many")).select(*docs.columns)
-    row = F.struct(F.col(text).alias("c0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest, 1)])
-    many = kept.filter("_many").groupBy(key).agg(F.min(row).alias("_row"))
-    one = many.select(key, F.col("_row.c0").alias(text), *[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(rest, 1)])
-    return single.unionByName(one.select(*docs.columns)).unionByName(docs.filter(F.col(key).isNull()))
+    rows = with_row_id(docs, "dedup")
+    found = _grouped(rows, key, text, bits, width).filter(F.col("doc_key").isNotNull())
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_key", *ROW_ID)).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in ROW_ID])
+    return rows.join(stays, list(ROW_ID), "left_semi").select(*docs.columns).unionByName(rows.filter(F.col(key).isNull()).select(*docs.columns))

@@ -238,6 +238,14 @@ def test_near_copies_are_exactly_those_with_a_jaccard_of_four_fifths(spark):
     assert [found[2 * n + 1] == 2 * n for n in range(150)] == [s >= 0.8 for s in similar]
 
 
+def test_dedup_decides_by_row_where_a_key_is_shared(spark):
+    texts = [f"{w} is a clean text that no other one repeats {w} at all {w}" for w in "alpha beta gamma delta".split()]
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(7, t) for t in texts] + [(5, near), (7, near.upper())]  # the last is a copy of a smaller id
+    kept = simhash.keep_one(frame(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(5, near), *[(7, t) for t in texts]])
+
+
 # quality
 
 
