@@ -6,22 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from authscope.functions import expressions as X
+from authscope.session import cut
 
 MAX_HOPS, SAMPLE = 6, 25
 
 
 def build(events: DataFrame, labels: DataFrame, start_day: int | None = None, end_day: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(users, computers, edges) of a window of days. Labels mark edges and nodes, they never add any; computers are
-    destinations only."""
+    """(users, computers, edges) of the days from start_day up to end_day, the latter left out. Labels of those days
+    mark edges and nodes, they never add any; computers are destinations only."""
     known = events.filter("src_user is not null and dst_computer is not null")
-    for bound, day in ((F.col("event_date") >= X.date_of(F.lit(start_day)), start_day), (F.col("event_date") <= X.date_of(F.lit(end_day)), end_day)):
-        known = known if day is None else known.filter(bound)
+    for bound, day in ((F.col("event_date") >= X.date_of(F.lit(start_day)), start_day), (F.col("event_date") < X.date_of(F.lit(end_day)), end_day)):
+        known, labels = (known, labels) if day is None else (known.filter(bound), labels.filter(bound))
     attack = labels.select(F.col("user").alias("_u"), F.col("src_computer").alias("_s"), F.col("dst_computer").alias("_d"))
     edges = known.groupBy(F.col("src_user").alias("user"), F.col("dst_computer").alias("computer")).agg(
         F.count("*").alias("count"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.sum(F.when(F.col("is_success"), 1).otherwise(0)).alias("_ok")
     )
     pairs = attack.select("_u", "_d").distinct().withColumn("_hit", F.lit(True))
-    edges = edges.join(F.broadcast(pairs), (F.col("user") == F.col("_u")) & (F.col("computer") == F.col("_d")), "left").select(
+    edges = edges.join(pairs, (F.col("user") == F.col("_u")) & (F.col("computer") == F.col("_d")), "left").select(
         "user", "computer", "count", "first_seen", "last_seen", F.round(F.col("_ok") / F.col("count"), 4).alias("success_ratio"), F.col("_hit").isNotNull().alias("is_redteam")
     )
     users = edges.select(F.col("user").alias("name")).distinct().withColumn("is_machine", X.is_machine(F.col("name")))
@@ -33,14 +34,6 @@ def build(events: DataFrame, labels: DataFrame, start_day: int | None = None, en
     return users, computers, edges
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that the session names; a folder of our own only where it names none."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/authscope")
-    return df.checkpoint()
-
-
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(src, dst, hops, path, weights, any_redteam) for user pairs that are connected within max_hops, undirected.
 
@@ -49,7 +42,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS)
     """
     step = edges.select(F.col("user").alias("_from"), F.col("computer").alias("_to"), "count", "is_redteam")
     step = step.unionByName(edges.select(F.col("computer").alias("_from"), F.col("user").alias("_to"), "count", "is_redteam"))
-    step = _cut(step)
+    step = cut(step)
     pairs = pairs.select("src", "dst").distinct()
     front = pairs.select("src").distinct().withColumns({"node": F.col("src"), "path": F.array("src"), "weights": F.array().cast("array<bigint>"), "any_redteam": F.lit(False)})
     seen = front.select("src", "node")
@@ -61,10 +54,10 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS)
             (F.col("any_redteam") | F.col("is_redteam")).alias("any_redteam"),
         )
         moved = moved.join(seen, ["src", "node"], "left_anti")
-        front = _cut(moved.groupBy("src", "node").agg(F.min(F.struct("path", "weights", "any_redteam")).alias("b")).select("src", "node", "b.*"))
+        front = cut(moved.groupBy("src", "node").agg(F.min(F.struct("path", "weights", "any_redteam")).alias("b")).select("src", "node", "b.*"))
         arrived = front.join(left.withColumnRenamed("dst", "node"), ["src", "node"]).withColumns({"dst": F.col("node"), "hops": F.lit(hop)})
         found = found.unionByName(arrived.select(*found.columns))
-        left = _cut(left.join(arrived.select("src", "dst"), ["src", "dst"], "left_anti"))
+        left = cut(left.join(arrived.select("src", "dst"), ["src", "dst"], "left_anti"))
         if left.isEmpty() or front.isEmpty():
             break
         seen = seen.unionByName(front.select("src", "node"))
@@ -146,6 +139,24 @@ def attack_subgraph(computers: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(marked, "computer", "left").filter(F.col("is_redteam") | F.col("_marked")).drop("_marked")
 
 
+def paths_json(paths: DataFrame) -> DataFrame:
+    """One JSON text per found path, for export: its nodes with their kind, and its edges with weight."""
+    kind = lambda x, i: F.struct(x.alias("name"), F.when(i % 2 == 0, "user").otherwise("computer").alias("kind"))
+    steps = F.zip_with(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))), F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("from"), b.alias("to")))
+    edges = F.zip_with(steps, "weights", lambda s, w: F.struct(s["from"].alias("from"), s["to"].alias("to"), w.alias("count")))
+    return paths.select("src", "dst", F.to_json(F.struct("src", "dst", "hops", F.transform("path", kind).alias("nodes"), edges.alias("edges"), "any_redteam")).alias("json"))
+
+
+def subgraph_json(users: DataFrame, computers: DataFrame, edges: DataFrame) -> DataFrame:
+    """The attack subgraph for export: one JSON text per edge, and per node that is on one."""
+    chosen = attack_subgraph(computers, edges)
+    nodes = users.join(chosen.select(F.col("user").alias("name")).distinct(), "name").select("name", F.to_json(F.struct("name", F.lit("user").alias("kind"), "is_compromised", "is_machine")).alias("json"))
+    hosts = computers.join(chosen.select(F.col("computer").alias("name")).distinct(), "name").select("name", F.to_json(F.struct("name", F.lit("computer").alias("kind"), "is_redteam_pivot", "is_redteam_target")).alias("json"))
+    lines = chosen.select(F.concat_ws(">", "user", "computer").alias("name"), F.to_json(F.struct("user", "computer", "count", "success_ratio", "is_redteam")).alias("json"))
+    part = lambda df, what: df.select(F.lit(what).alias("part"), "name", "json")
+    return part(nodes, "node").unionByName(part(hosts, "node")).unionByName(part(lines, "edge"))
+
+
 def saturation(compromised: list[int], control: list[int], hosts: int, least_ratio: float = 1.5, coverage: float = 0.9) -> dict:
     """Whether reach tells attackers from others: their mean must be larger by a ratio, and must not cover the graph."""
     mean = lambda x: sum(x) / len(x) if x else 0.0

@@ -24,15 +24,17 @@ def first_seen(grain: DataFrame) -> DataFrame:
     return firsts.groupBy(*DAY).agg(F.count("*").alias("new_dst_computers"))
 
 
-def rollup(events: DataFrame, labels: DataFrame, band: list[int] | None = None, strategy: str = "shared_grain", broadcast_labels: bool = True, max_day: int | None = None) -> DataFrame:
+def rollup(events: DataFrame, labels: DataFrame, band: list[int] | None = None, strategy: str = "shared_grain", broadcast_labels: bool | None = None, max_day: int | None = None) -> DataFrame:
     """One row per user and date.
 
     `shared_grain` aggregates once to (user, date, destination, source) and derives both the daily measures and
     first-seen edges from it, over one reused exchange; `naive` aggregates events twice. Both give equal rows.
+    Days from max_day on are left out. Labels grow with the events, so by default the planner broadcasts them only
+    if their measured size is under its threshold; True and False force a strategy, for comparison.
     """
     known = events.filter("src_user is not null")
     if max_day is not None:  # as a bound on the partition column, so that partitions are pruned
-        known = known.filter(F.col("event_date") <= X.date_of(F.lit(max_day)))
+        known = known.filter(F.col("event_date") < X.date_of(F.lit(max_day)))
     off_hours = X.in_band(F.col("hour_of_day"), DEFAULT_BAND if band is None else band)
     if strategy == "naive":
         distinct = [F.countDistinct("dst_computer").alias("distinct_dst_computers"), F.countDistinct("src_computer").alias("distinct_src_computers")]
@@ -42,7 +44,7 @@ def rollup(events: DataFrame, labels: DataFrame, band: list[int] | None = None,
         distinct = [F.countDistinct("dst_computer").alias("distinct_dst_computers"), F.countDistinct("src_computer").alias("distinct_src_computers")]
         daily = grain.groupBy(*DAY).agg(*[F.sum(c).alias(c) for c in ("auth_count", "success_count", "failure_count", "off_hours_events")], *distinct)
     marked = labels.select(F.col("user").alias("src_user"), "event_date").distinct().withColumn("is_redteam_day", F.lit(True))
-    out = daily.join(first_seen(grain), DAY, "left").join(F.broadcast(marked) if broadcast_labels else marked, DAY, "left")
+    out = daily.join(first_seen(grain), DAY, "left").join(marked if broadcast_labels is None else marked.hint("broadcast" if broadcast_labels else "merge"), DAY, "left")
     return out.fillna(0, ["new_dst_computers"]).fillna(False, ["is_redteam_day"]).withColumns(
         {"failure_ratio": X.ratio(F.col("failure_count"), F.col("auth_count")), "off_hours_share": X.ratio(F.col("off_hours_events"), F.col("auth_count"))}
     )

@@ -11,7 +11,8 @@ IDLE = 1800
 def sessions(events: DataFrame, idle: int = IDLE) -> DataFrame:
     """A session ends where the next event is more than `idle` seconds away; an exact gap stays together.
 
-    The session's date is that of its start. A null host is a host of its own.
+    The session's date is that of its start. A null host is a host of its own. session_id hashes user, host and the
+    session's number there, from 1; a null host is left out of that text.
     """
     host = Window.partitionBy("src_user", "src_computer").orderBy("time")
     starts = F.coalesce((F.col("time") - F.lag("time").over(host) > idle).cast("int"), F.lit(1))
@@ -21,7 +22,7 @@ def sessions(events: DataFrame, idle: int = IDLE) -> DataFrame:
         F.min("time").alias("session_start"), F.max("time").alias("session_end"), F.count("*").alias("event_count"),
         F.countDistinct("dst_computer").alias("distinct_destinations"), F.sum(F.col("is_success").cast("int")).alias("success_count"), F.min("event_date").alias("event_date"),
     )
-    identity = F.concat_ws("|", "src_user", "src_computer", F.col("session_start").cast("string"))
+    identity = F.concat_ws("|", "src_user", "src_computer", F.col("_session").cast("string"))
     return made.select(
         "src_user", "src_computer", "session_start", "session_end", "event_count", "distinct_destinations", "success_count", "event_date",
         (F.col("session_end") - F.col("session_start")).alias("duration_seconds"), F.substring(F.sha2(identity, 256), 1, 16).alias("session_id"),

@@ -26,7 +26,7 @@ def fact(events: DataFrame, labels: DataFrame, band: list[int] | None = None) ->
     """One row per event, natural keys, additive measures. Labels match on time, user, source and destination."""
     keys = ["time", "src_user", "src_computer", "dst_computer"]
     marked = labels.select("time", F.col("user").alias("src_user"), "src_computer", "dst_computer").distinct().withColumn("_hit", F.lit(True))
-    rows = staged(events).join(F.broadcast(marked), keys, "left")
+    rows = staged(events).join(marked, keys, "left")
     flag = lambda c: F.when(F.col(c), 1).otherwise(0)
     return rows.select(
         *keys, "event_date", "hour_of_day", "event_ts", "auth_type", "logon_type", "auth_orientation", F.lit(1).alias("event_count"),
@@ -128,14 +128,16 @@ def checks(events: DataFrame, labels: DataFrame, mart: DataFrame) -> DataFrame:
     facts, who, hosts, days = fact(events, labels), dim_identity(events, labels), dim_computer(events, labels), dim_time(events, labels)
     found = [
         not_null(facts, "fact", ["event_date", "src_user", "event_count", "success_count", "failure_count", "is_off_hours", "is_redteam_event"]),
-        not_null(who, "dim_identity", ["identity_key", "identity_name", "is_machine_account", "is_compromised"]),
+        not_null(who, "dim_identity", ["identity_key", "identity_name", "is_machine_account", "is_compromised", "total_auth_events"]),
         not_null(hosts, "dim_computer", ["computer_key", "computer_name", "host_role", "is_redteam_pivot", "is_redteam_target"]),
         not_null(days, "dim_time", ["time_key", "calendar_date", "day_index", "week_index", "has_redteam_activity"]),
-        not_null(mart, "mart", ["identity_key", "time_key", "event_date", "auth_count", "is_redteam_day"]),
+        not_null(mart, "mart", ["identity_key", "time_key", "event_date", "auth_count", "is_redteam_day", "distinct_dst_computers"]),
         unique(who, "dim_identity", ["identity_key"]), unique(hosts, "dim_computer", ["computer_key"]), unique(days, "dim_time", ["time_key"]),
-        unique(mart, "mart", ["identity_key", "event_date"]),
+        unique(who, "dim_identity", ["identity_name"]), unique(hosts, "dim_computer", ["computer_name"]), unique(days, "dim_time", ["calendar_date"]),
+        unique(days, "dim_time", ["day_index"]), unique(mart, "mart", ["identity_key", "event_date"]),
         references(mart, "identity_key", who, "identity_key", "mart.identity_key"), references(mart, "time_key", days, "time_key", "mart.time_key"),
         references(facts, "src_user", who, "identity_name", "fact.src_user"), references(facts, "dst_computer", hosts, "computer_name", "fact.dst_computer"),
+        references(facts, "src_computer", hosts, "computer_name", "fact.src_computer"), references(facts, "event_date", days, "calendar_date", "fact.event_date"),
         accepted(events, "staging", "outcome", ["Success", "Fail"]), accepted(hosts, "dim_computer", "host_role", list(ROLES)),
         reconciled(facts, mart).agg(F.count("*").alias("violations")).select(F.lit("rollup reconciles with fact").alias("check"), "violations"),
     ]

@@ -1,14 +1,19 @@
-"""Behaviour vectors, exact blocked nearest neighbours, anomaly scores and retrieval."""
+"""Behaviour vectors, nearest neighbours (exact in blocks, or by an index of cells), anomaly scores and retrieval."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from authscope.functions import expressions as X
 from authscope.operators.rollup import DAY
+from authscope.session import cut
 
 # The vocabularies whose shares are vector dimensions, in order; all else is "other".
 AUTH_TYPES = ["Kerberos", "Negotiate", "NTLM", "MICROSOFT"]
@@ -55,60 +60,158 @@ def vectors(made: DataFrame) -> DataFrame:
     return z.select(*DAY, F.array(*[(F.col(n) / length).cast("float") for n in names]).alias("vector"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_type: str = "long", block_rows: int = 20_000) -> DataFrame:
-    """(query, rank, id, distance): exact k nearest by squared Euclidean distance; a query's own id is left out.
-
-    rows and queries have (id, vector). Rows are dealt into blocks of bounded size, queries visit every block, each
-    block keeps its best k per query, and the blocks' winners are merged: exact, and no row meets another in a join.
+@dataclass(frozen=True)
+class Index:
+    """Cells of an approximate index: centroids are fitted on fit_rows rows at most (expected), about `cells` of them for
+    each sqrt(rows) up to max_cells; a query looks into the `probes` nearest cells. block_rows: rows of a cell, or queries
+    to it, that meet in one task."""
+
+    cells: float = 0.5
+    max_cells: int = 4096
+    probes: int = 8
+    fit_rows: int = 65_536
+    rounds: int = 8
+    block_rows: int = 8192
+    seed: int = 5
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _near_cells(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centroids of every row, nearest first."""
+    d = (centroids**2).sum(axis=1)[None, :] - 2.0 * (x @ centroids.T)
+    n = min(n, d.shape[1])
+    some = np.argpartition(d, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def fit_centroids(rows: DataFrame, total: int, p: Index) -> np.ndarray:
+    """Centroids by Lloyd's rounds over a bounded sample, drawn by hash of id."""
+    place = F.pmod(F.xxhash64("id"), F.lit(10**9))
+    part = min(1.0, p.fit_rows / max(1, total))
+    drawn = rows.filter(place < int(part * 10**9)).select(place.alias("place"), "vector").toArrow().sort_by("place")
+    x = _matrix(drawn["vector"].combine_chunks())
+    k = int(max(1, min(p.max_cells, len(x), p.cells * total**0.5)))
+    centroids = x[np.sort(np.random.default_rng(p.seed).choice(len(x), k, replace=False))] if len(x) else np.zeros((1, 1))
+    for _ in range(p.rounds if k > 1 else 0):
+        cell = np.concatenate([_near_cells(x[i : i + 8192], centroids, 1)[:, 0] for i in range(0, len(x), 8192)])
+        held = np.bincount(cell, minlength=k)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, cell, x)
+        centroids = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centroids)
+    return centroids
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_type: str = "long", index: Index | None = None, block_rows: int = 8192) -> DataFrame:
+    """(query, rank, id, distance): k nearest by squared Euclidean distance; a query's own id is left out.
+
+    rows and queries have (id, vector). Without an index every query meets all rows, and the result is exact; with one
+    it meets the rows of its nearest cells only. Cells, and the queries that look into one, are dealt into blocks of
+    bounded size: every pair of blocks is a task's work of its own, keeps its best k per query, and the winners are merged.
     """
-    blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    spark = rows.sparkSession
+    rows, queries = rows.select("id", "vector").filter("id is not null and vector is not null"), queries.select("id", "vector").filter("id is not null and vector is not null")
+    total = rows.count()
+    centroids = spark.sparkContext.broadcast(fit_centroids(rows, total, index) if index and total else np.zeros((1, 1)))
+    size = index.block_rows if index else block_rows
+
+    def assigner(probes: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                near = _near_cells(_matrix(batch.column(1)), centroids.value, probes) if len(centroids.value) > 1 else np.zeros((n, 1), np.int64)
+                which = pa.array(np.repeat(np.arange(n), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(which), batch.column(1).take(which)], names=["cell", "id", "vector"])
+
+        return run
+
+    kind = rows.schema["vector"].dataType.simpleString()
+    placed = rows.mapInArrow(assigner(1), f"cell long, id {id_type}, vector {kind}")
+    asked = queries.mapInArrow(assigner(index.probes if index else 1), f"cell long, id {id_type}, vector {queries.schema['vector'].dataType.simpleString()}")
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+    plan = cut(blocks(placed, "row_blocks").join(blocks(asked, "query_blocks"), "cell"))  # a row for each cell
+    dealt = lambda own, other: [
+        F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), "id", "vector",
+    ]
+    left = placed.join(plan, "cell").select("cell", *dealt("row_blocks", "query_blocks"))
+    right = asked.join(plan, "cell").select("cell", *dealt("query_blocks", "row_blocks"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
             x, ids = np.stack(left["vector"].to_numpy()).astype(np.float64), left["id"].to_numpy()
-            for query, q in zip(right["query"], right["asked"], strict=True):
+            for query, q in zip(right["id"], right["vector"], strict=True):
                 d = x - np.asarray(q, dtype=np.float64)
-                d = np.einsum("ij,ij->i", d, d)
+                d = np.round(np.einsum("ij,ij->i", d, d), 12)
                 d[ids == query] = np.inf
                 near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
                 near = near[np.isfinite(d[near])]
-                order = np.lexsort((ids[near], np.round(d[near], 12)))[:k]
+                order = np.lexsort((ids[near], d[near]))[:k]
                 out += [(query, ids[near[o]], float(d[near[o]])) for o in order]
         return pd.DataFrame(out, columns=["query", "id", "distance"])
 
-    won = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(best, f"query {id_type}, id {id_type}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 12), "id"))
+    keys = ["cell", "row_blocks", "query_blocks"]
+    won = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query {id_type}, id {id_type}, distance double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return won.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def anomaly_scores(rows: DataFrame, k: int = 20, id_type: str = "long") -> DataFrame:
-    """(id, anomaly_score): mean distance to the k nearest others."""
-    found = nearest(rows, rows, k, id_type)
+def anomaly_scores(rows: DataFrame, k: int = 20, id_type: str = "long", index: Index | None = None) -> DataFrame:
+    """(id, anomaly_score): mean distance to the k nearest others, exact or by an index."""
+    found = nearest(rows, rows, k, id_type, index)
     return found.groupBy(F.col("query").alias("id")).agg(F.avg("distance").alias("anomaly_score"))
 
 
-def at_budgets(scores: DataFrame, budgets: DataFrame) -> DataFrame:
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """How much of an exact result of nearest() another one has: queries, neighbours, found, recall."""
+    both = exact.select("query", "id").join(found.select("query", "id").withColumn("_hit", F.lit(1)), ["query", "id"], "left")
+    out = both.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("neighbours"), F.count("_hit").alias("found"))
+    return out.withColumn("recall", F.try_divide(F.col("found"), F.col("neighbours")))
+
+
+def labelled(made: DataFrame, daily: DataFrame) -> DataFrame:
+    """Vectors with the answer key, for scoring only: id (user|date), its parts, vector, is_attack. Unknown days are no attack."""
+    days = daily.select(*DAY, "is_redteam_day")
+    return made.join(days, DAY, "left").select(
+        F.concat_ws("|", F.col("src_user"), F.col("event_date").cast("string")).alias("id"), *DAY, "vector", F.coalesce("is_redteam_day", F.lit(False)).alias("is_attack")
+    )
+
+
+def payload(rows: DataFrame, scores: DataFrame, keep_one_in: int = 64) -> DataFrame:
+    """Vectors with their anomaly score: every attack, and a stable sample of the others."""
+    sampled = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % keep_one_in == 0
+    return rows.filter(F.col("is_attack") | sampled).join(scores, "id")
+
+
+def at_budgets(scores: DataFrame, budgets: DataFrame, parts: int = 64) -> DataFrame:
     """A ranking scored at the alerts that other detectors spent. scores: (id, anomaly_score, is_attack), budgets:
-    (detector, alerts); a budget that covers all rows is no budget and is skipped."""
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round("anomaly_score", 9)), "id"))
-    totals = scores.agg(F.count("*").alias("n"), F.sum(F.col("is_attack").cast("int")).alias("attacks"))
-    largest = budgets.crossJoin(F.broadcast(totals)).filter("alerts < n")  # a handful of detectors
-    most = largest.agg(F.max("alerts")).first()[0] or 0
-    top = scores.orderBy(F.desc(F.round("anomaly_score", 9)), "id").limit(int(most)).withColumn("rank", rank).filter("is_attack").select("rank")
-    hits = largest.join(top, F.col("rank") <= F.col("alerts"), "left").groupBy("detector", "alerts", "n", "attacks").agg(F.count("rank").alias("caught"))
+    (detector, alerts), a handful; a budget that covers all rows is no budget and is skipped.
+
+    Ranks are places inside range partitions plus the rows of the partitions before, so no task orders the whole table.
+    """
+    ordered = scores.select(F.round("anomaly_score", 9).alias("score"), "id", F.col("is_attack").cast("int").alias("attack"))
+    ordered = cut(ordered.repartitionByRange(parts, F.desc("score"), F.asc("id")).withColumn("part", F.spark_partition_id()))
+    sums = ordered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("attack").alias("attacks"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sums = sums.withColumn("rows_before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    ranked = ordered.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "id")))
+    ranked = ranked.filter("attack = 1").join(F.broadcast(sums.select("part", "rows_before")), "part").select((F.col("rows_before") + F.col("place")).alias("rank"))
+    totals = sums.agg(F.sum("rows").alias("n"), F.sum("attacks").alias("attacks"))
+    spent = budgets.crossJoin(F.broadcast(totals)).filter("alerts < n")
+    hits = ranked.join(F.broadcast(spent), F.col("rank") <= F.col("alerts")).groupBy("detector").agg(F.count("*").alias("caught"))
+    hits = spent.join(hits, "detector", "left").fillna(0, ["caught"])
     return hits.select(
         "detector", "alerts", "caught", (F.col("attacks") - F.col("caught")).alias("missed"), F.round(100.0 * F.col("caught") / F.nullif("attacks", F.lit(0)), 1).alias("recall_pct"),
         F.round(100.0 * F.col("caught") / F.col("alerts"), 3).alias("precision_pct"),
     )
 
 
-def retrieval(rows: DataFrame, k: int = 10, id_type: str = "long") -> DataFrame:
+def retrieval(rows: DataFrame, k: int = 10, id_type: str = "long", index: Index | None = None) -> DataFrame:
     """Leave-one-out retrieval: of each attack row's k nearest others, how many are attacks too. rows: (id, vector, is_attack)."""
     attacks = rows.filter("is_attack")
-    found = nearest(rows, attacks, k, id_type).join(rows.select("id", "is_attack"), "id")
+    found = nearest(rows, attacks, k, id_type, index).join(rows.select("id", "is_attack"), "id")
     hits = found.groupBy("query").agg(F.count_if("is_attack").alias("hits"))
     base = rows.agg(F.avg(F.col("is_attack").cast("int")).alias("base"))
     return hits.agg(F.count("*").alias("queries"), F.avg("hits").alias("mean_hits"), F.count_if(F.col("hits") > 0).alias("with_a_hit"), F.count_if(F.col("hits") == 0).alias("without")).crossJoin(F.broadcast(base)).select(

@@ -161,37 +161,76 @@ def run_queries(spark: SparkSession, queries: dict[str, str], folder: str, max_r
     return json_text(queries=summary)
 
 
-#: Exploration presets: plain SQL that runs on the mart and dimensions as they are published.
-PRESETS = {
+#: Fixed values of the published presets, and lower ones that fire on small tables. `digits` rounds z-scores, see Thresholds.
+PRESET_VALUES = {"volume": 10, "history": 3, "usual": 0.05, "unusual": 0.25, "z": 3, "failures": 5, "new_paths": 5, "top": 25, "digits": 9}
+LOW_PRESET_VALUES = PRESET_VALUES | {"volume": 2, "usual": 0.2, "z": 2, "failures": 1}
+
+#: Exploration presets: SQL templates over the mart and dimensions as they are published; [name] stands for a value.
+PRESET_TEMPLATES = {
     "preset_fanout": """-- Growth of the weekly peak fan-out
 with peaks as (
-  select m.src_user as identity, d.week_index, max(m.distinct_dst_computers) as peak_fanout, sum(m.new_dst_computers) as new_destinations
+  select m.src_user as identity, d.week_index, max(m.distinct_dst_computers) as peak_fanout, cast(sum(m.new_dst_computers) as bigint) as new_destinations,
+    bool_or(m.is_redteam_day) as had_redteam
   from {{mart}} m join {{days}} d on m.event_date = d.calendar_date join {{who}} w on m.src_user = w.identity_name
   where not w.is_machine_account group by m.src_user, d.week_index),
 moved as (select *, lag(peak_fanout) over (partition by identity order by week_index) as prev_week from peaks)
-select identity, week_index, prev_week, peak_fanout, peak_fanout - prev_week as delta, cast(new_destinations as bigint) as new_destinations
-from moved where peak_fanout > prev_week order by delta desc, identity, week_index limit 25""",
+select identity, week_index, prev_week, peak_fanout, peak_fanout - prev_week as delta, new_destinations, had_redteam
+from moved where peak_fanout > prev_week order by delta desc, identity, week_index limit [top]""",
     "preset_off_hours": """-- Off-hours share against the own baseline
-select m.src_user as identity, m.event_date, m.auth_count, round(m.off_hours_share, 4) as off_hours_today,
-  round(round(m.off_hours_share - m.off_hours_share_baseline_mean, 9), 4) as excess
+select m.src_user as identity, m.event_date, m.auth_count, m.off_hours_events, round(m.off_hours_share, 4) as off_hours_today,
+  round(round(m.off_hours_share_baseline_mean, [digits]), 4) as their_baseline,
+  round(round(m.off_hours_share - m.off_hours_share_baseline_mean, [digits]), 4) as excess, m.is_redteam_day
 from {{mart}} m join {{who}} w on m.src_user = w.identity_name
-where not w.is_machine_account and m.auth_count >= 2 and m.baseline_days_available >= 3
-  and m.off_hours_share_baseline_mean < 0.2 and m.off_hours_share > 0.25
-order by excess desc, identity, event_date limit 25""",
+where not w.is_machine_account and m.auth_count >= [volume] and m.baseline_days_available >= [history]
+  and m.off_hours_share_baseline_mean < [usual] and m.off_hours_share > [unusual]
+order by excess desc, identity, event_date limit [top]""",
     "preset_new_paths": """-- First-time edges per day
-select event_date, cast(sum(new_dst_computers) as bigint) as new_edges, count(distinct src_user) as active_identities
+select event_date, cast(sum(new_dst_computers) as bigint) as new_edges, count(distinct src_user) as active_identities,
+  cast(sum(case when is_redteam_day then 1 else 0 end) as bigint) as redteam_identities_active
 from {{mart}} group by event_date order by event_date""",
     "preset_failures": """-- Failure spikes against the own history
-select src_user as identity, event_date, auth_count, failure_count, round(failure_ratio, 4) as failure_ratio_today, round(failure_ratio_zscore, 2) as z_score
-from {{mart}} where round(failure_ratio_zscore, 9) > 2 and failure_count >= 1 order by z_score desc, identity, event_date limit 25""",
-    "preset_detectors": """-- Recall and alerts of two detectors
-select cast(sum(case when is_redteam_day then 1 else 0 end) as bigint) as redteam_days,
-  cast(sum(case when new_dst_computers >= 5 then 1 else 0 end) as bigint) as alerts,
-  cast(sum(case when new_dst_computers >= 5 and is_redteam_day then 1 else 0 end) as bigint) as caught
-from {{mart}}""",
+select src_user as identity, event_date, auth_count, failure_count, round(failure_ratio, 4) as failure_ratio_today,
+  round(failure_ratio_zscore, 2) as z_score, baseline_days_available, is_redteam_day
+from {{mart}} where round(failure_ratio_zscore, [digits]) > [z] and failure_count >= [failures]
+order by round(failure_ratio_zscore, [digits]) desc, identity, event_date limit [top]""",
+    "preset_detectors": """-- The four signals and any of them, scored against the answer key
+with signals as (
+  select case when is_redteam_day then 1 else 0 end as attack,
+    case when round(fanout_zscore, [digits]) > [z] then 1 else 0 end as fanout,
+    case when baseline_days_available >= [history] and off_hours_share_baseline_mean < [usual] and off_hours_share > [unusual]
+      and auth_count >= [volume] then 1 else 0 end as off_hours,
+    case when new_dst_computers >= [new_paths] then 1 else 0 end as paths,
+    case when round(failure_ratio_zscore, [digits]) > [z] and failure_count >= [failures] then 1 else 0 end as failures
+  from {{mart}}),
+totals as (
+  select cast(count(*) as double) as days, sum(attack) as attacks,
+    sum(fanout) as a1, sum(fanout * attack) as c1, sum(off_hours) as a2, sum(off_hours * attack) as c2, sum(paths) as a3, sum(paths * attack) as c3,
+    sum(failures) as a4, sum(failures * attack) as c4, sum(greatest(fanout, off_hours, paths, failures)) as a5,
+    sum(greatest(fanout, off_hours, paths, failures) * attack) as c5
+  from signals),
+scored as (
+  select 'Q1 fan-out spike' as detector, a1 as alerts, c1 as caught, attacks, days from totals
+  union all select 'Q2 off-hours', a2, c2, attacks, days from totals
+  union all select 'Q3 new access paths', a3, c3, attacks, days from totals
+  union all select 'Q4 failure spike', a4, c4, attacks, days from totals
+  union all select 'ANY of Q1-Q4', a5, c5, attacks, days from totals)
+select detector, cast(attacks as bigint) as redteam_days, cast(caught as bigint) as caught, cast(attacks - caught as bigint) as missed,
+  round(cast(100.0 as double) * caught / nullif(attacks, 0), 1) as recall_pct, cast(alerts as bigint) as alerts_to_triage,
+  round(cast(100.0 as double) * caught / nullif(alerts, 0), 3) as precision_pct,
+  round(cast(caught as double) / nullif(alerts, 0) / nullif(attacks / days, 0), 1) as lift_over_random
+from scored order by recall_pct desc nulls last, detector""",
 }
 
 
+def _filled(template: str, values: dict) -> str:
+    return re.sub(r"\[(\w+)\]", lambda m: str(values[m[1]]), template)
+
+
+PRESETS = {name: _filled(t, PRESET_VALUES) for name, t in PRESET_TEMPLATES.items()}
+#: The presets with thresholds, with low ones.
+LOW_PRESETS = {f"{name}_low": _filled(PRESET_TEMPLATES[name], LOW_PRESET_VALUES) for name in ("preset_off_hours", "preset_failures", "preset_detectors")}
+
+
 def weekly_suppliers(orders: DataFrame, lineitem: DataFrame, top: int = 25) -> DataFrame:
     """The weekly fan-out query on orders and line items: customers by distinct suppliers a week."""
     joined = orders.join(lineitem.select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -204,7 +243,8 @@ def weekly_suppliers(orders: DataFrame, lineitem: DataFrame, top: int = 25) -> D
 
 def extract_sample(mart: DataFrame, keep_one_in: int = 64) -> DataFrame:
     """All labelled identity-days and a stable sample of the others."""
-    return mart.filter((F.pmod(F.xxhash64("src_user", "event_date"), F.lit(keep_one_in)) == 0) | F.col("is_redteam_day"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("src_user"), F.col("event_date").cast("string"))), 1, 8), 16, 10).cast("long")
+    return mart.filter((hashed % keep_one_in == 0) | F.col("is_redteam_day"))
 
 
 def one_in(lines: DataFrame, n: int, seed: int = 0, column: str = "value") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from authscope.operators import diurnal, graph, rollup, sessions, star, vectors
-from authscope.plans import detectors
+from authscope.plans import detectors, warehouse
+from authscope.session import new_path, shared_dir
 from authscope.sources import log
 from authscope.streaming import windows
 
@@ -18,6 +19,11 @@ from authscope.streaming import windows
 PUBLISHED = detectors.Thresholds(digits=9)
 LOW = replace(PUBLISHED, z=2.0, failures=1, volume=2, usual=0.2)
 BAND = log.DEFAULT_BAND
+#: The synthetic embeddings have no clusters to speak of, so a query looks into most cells.
+EMBEDDED_INDEX = vectors.Index(probes=24)
+
+
+_STORED: dict[str, dict[str, warehouse.Warehouse]] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +55,14 @@ class Tables:
     def days(self) -> DataFrame:
         return star.dim_time(self.events, self.labels)
 
+    @property
+    def stored(self) -> warehouse.Warehouse:
+        """The warehouse over the same events, built once in a session and kept in the shared folder."""
+        known = _STORED.setdefault(self.spark.sparkContext.applicationId, {})
+        if self.sf_dir not in known:
+            known[self.sf_dir] = warehouse.build(self.spark, self.events, self.labels, f"{shared_dir(self.spark)}/warehouse-{self.spark.sparkContext.applicationId}-{len(known)}", BAND)
+        return known[self.sf_dir]
+
     @property
     def graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return graph.build(self.events, self.labels)
@@ -88,9 +102,7 @@ def _budgets(t: Tables) -> DataFrame:
 
 def _stream(t: Tables) -> DataFrame:
     """The stream over all events, replayed from files of the shared folder, read back from its sink."""
-    spark = t.spark
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/authscope"
-    path = f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    spark, path = t.spark, new_path(t.spark, "stream")
     t.events.select("time", "event_ts", *log.STRINGS, F.lit(0).cast("long").alias("produce_ts_ms")).filter("src_user is not null").write.parquet(f"{path}/in")
     stored = spark.read.parquet(f"{path}/in")
     query = windows.start(windows.windowed(spark.readStream.schema(stored.schema).parquet(f"{path}/in")), f"{path}/sink", f"{path}/lag", f"{path}/state")
@@ -100,10 +112,6 @@ def _stream(t: Tables) -> DataFrame:
     return windows.read_sink(spark, f"{path}/sink")
 
 
-def _streamed(t: Tables) -> DataFrame:
-    return _stream(t).select("window_start", "window_end", "src_user", "auth_count", "failure_count", "success_count", "event_date")
-
-
 def _checks(t: Tables) -> DataFrame:
     return star.checks(t.events, t.labels, t.mart)
 
@@ -118,7 +126,39 @@ def _strategies(t: Tables) -> DataFrame:
 
 
 def _preset(name: str, t: Tables) -> DataFrame:
-    return detectors.ad_hoc(t.spark, detectors.PRESETS[name], mart=t.mart, who=t.who, days=t.days)
+    return detectors.ad_hoc(t.spark, (detectors.PRESETS | detectors.LOW_PRESETS)[name], mart=t.mart, who=t.who, days=t.days)
+
+
+def _paths(t: Tables) -> DataFrame:
+    """Shortest paths with nodes and weights as text."""
+    found = graph.shortest_paths(t.graph[2], _pairs(t))
+    return found.withColumns({"path": F.array_join("path", ">"), "weights": F.array_join(F.transform("weights", lambda w: w.cast("string")), ">")})
+
+
+def _unit(made: DataFrame) -> DataFrame:
+    """Unit vectors with a column for each dimension."""
+    wide = [(F.round(F.get("vector", F.lit(i)).cast("double"), 5) + 0.0).alias(n) for i, n in enumerate(vectors.feature_names())]
+    return made.select("src_user", "event_date", *wide)
+
+
+def _stored_budgets(t: Tables) -> DataFrame:
+    """The vector chain over the stored warehouse: scores by the index, at the alerts of the stored detectors."""
+    days = warehouse.attack_days(t.stored)
+    scores = vectors.anomaly_scores(days, 20, "string", vectors.Index()).join(days.select("id", "is_attack"), "id")
+    spent = detectors.evaluation(t.stored.mart, PUBLISHED).select("detector", F.col("alerts_raised").alias("alerts")).filter("alerts > 0")
+    return vectors.at_budgets(scores, spent)
+
+
+def _index_recall(t: Tables) -> DataFrame:
+    """Recall of the index against all rows, for every row whose id is divisible by 20."""
+    rows = _embedded(t).select("id", "vector")
+    asked = rows.filter("id % 20 = 0")
+    return vectors.recall(vectors.nearest(rows, asked, 20, index=EMBEDDED_INDEX), vectors.nearest(rows, asked, 20))
+
+
+def _payload(t: Tables) -> DataFrame:
+    rows = _embedded(t)
+    return vectors.payload(rows, vectors.anomaly_scores(rows, 20)).select("id", "is_attack", F.round("anomaly_score", 5).alias("anomaly_score"))
 
 
 _MART_COLUMNS = (
@@ -130,11 +170,12 @@ RECIPES: dict[str, Callable[[Tables], DataFrame]] = {
     "lake": lambda t: t.events,
     "labels_lake": lambda t: t.labels,
     "sessions": lambda t: sessions.sessions(t.events, 6 * 3600),
-    "session_stats": lambda t: _rounded(sessions.session_stats(sessions.sessions(t.events, 6 * 3600)).drop("median_duration")),
+    "session_stats": lambda t: _rounded(sessions.session_stats(sessions.sessions(t.events, 6 * 3600))),
     "session_windows": lambda t: sessions.session_windows(t.events.filter("src_user is not null"), 6 * 3600),
     "hour_histogram": lambda t: diurnal.hour_histogram(t.events),
     "rollup": lambda t: _rounded(t.daily.select(*_MART_COLUMNS)),
     "rollup_naive": lambda t: _rounded(rollup.rollup(t.events, t.labels, BAND, "naive").select(*_MART_COLUMNS)),
+    "rollup_window": lambda t: _rounded(rollup.rollup(t.events, t.labels, BAND, max_day=7).select(*_MART_COLUMNS)),
     "rollup_stats": lambda t: rollup.rollup_stats(t.daily),
     "daily_mart": lambda t: _rounded(t.mart),
     "fact": lambda t: star.fact(t.events, t.labels, BAND),
@@ -151,14 +192,25 @@ RECIPES: dict[str, Callable[[Tables], DataFrame]] = {
     "q4_failure_spikes_low": lambda t: detectors.failure_spikes(t.mart, t.who, LOW),
     "q5_evaluation": lambda t: detectors.evaluation(t.mart, PUBLISHED),
     "q5_evaluation_low": lambda t: detectors.evaluation(t.mart, LOW),
-    **{name: partial(_preset, name) for name in detectors.PRESETS},
+    **{name: partial(_preset, name) for name in (*detectors.PRESETS, *detectors.LOW_PRESETS)},
+    "stored_mart": lambda t: _rounded(t.stored.mart.select(*t.mart.columns)),
+    "stored_q1_weekly_fanout": lambda t: detectors.weekly_fanout(t.stored.mart, t.stored.who, t.stored.days, PUBLISHED),
+    "stored_q2_off_hours": lambda t: detectors.off_hours(t.stored.mart, t.stored.who, LOW),
+    "stored_q3_new_paths": lambda t: detectors.new_paths(t.stored.mart, t.stored.who, PUBLISHED),
+    "stored_q4_failure_spikes": lambda t: detectors.failure_spikes(t.stored.mart, t.stored.who, LOW),
+    "stored_q5_evaluation": lambda t: detectors.evaluation(t.stored.mart, LOW),
+    "stored_vector_labels": lambda t: warehouse.attack_days(t.stored).select("id", "src_user", "event_date", "is_attack", F.size("vector").alias("dimensions")),
+    "stored_vector_budgets": _stored_budgets,
     "graph_users": lambda t: t.graph[0],
     "graph_computers": lambda t: t.graph[1],
     "graph_edges": lambda t: t.graph[2],
+    "graph_window_edges": lambda t: graph.build(t.events, t.labels, 2, 9)[2],
+    "graph_window_computers": lambda t: graph.build(t.events, t.labels, 2, 9)[1],
+    "graph_subgraph_json": lambda t: graph.subgraph_json(*t.graph).select("part", "name"),
     "graph_counts": lambda t: graph.counts(*t.graph),
-    "graph_shortest_paths": lambda t: graph.shortest_paths(t.graph[2], _pairs(t)).select("src", "dst", "hops"),
+    "graph_shortest_paths": _paths,
     "graph_hop_histogram": lambda t: graph.hop_histogram(graph.shortest_paths(t.graph[2], _pairs(t))),
-    "graph_blast_radius": lambda t: graph.blast_radius(t.graph[2], _starts(t)).drop("hop1_sample"),
+    "graph_blast_radius": lambda t: graph.blast_radius(t.graph[2], _starts(t)).withColumn("hop1_sample", F.array_join("hop1_sample", ",")),
     "graph_movement": lambda t: graph.movement(t.graph[0], t.graph[2]),
     "graph_attacker_footprint": lambda t: graph.attacker_footprint(t.graph[0], t.graph[2]),
     "graph_choke_points": lambda t: graph.choke_points(t.graph[1], t.graph[2]),
@@ -166,28 +218,30 @@ RECIPES: dict[str, Callable[[Tables], DataFrame]] = {
     "graph_control_group": lambda t: graph.control_group(t.graph[0], t.graph[2], skip=5),
     "graph_attack_subgraph": lambda t: graph.attack_subgraph(t.graph[1], t.graph[2]),
     "vector_features": lambda t: _rounded(vectors.features(t.events, t.daily)),
-    "vector_unit": lambda t: vectors.vectors(vectors.features(t.events, t.daily)).select("src_user", "event_date", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length")),
+    "vector_unit": lambda t: _unit(vectors.vectors(vectors.features(t.events, t.daily))),
+    "vector_index_recall": _index_recall,
+    "vector_payload": _payload,
     "vector_anomalies": _anomalies,
     "vector_budgets": _budgets,
     "vector_retrieval": lambda t: vectors.retrieval(_embedded(t), 10),
     "vector_lookalikes": lambda t: _rounded(vectors.lookalikes(_embedded(t), 0), 5),
     "extract_sample": lambda t: detectors.extract_sample(t.mart).select("src_user", "event_date", "is_redteam_day"),
-    "streaming_windows": _streamed,
+    "streaming_windows": _stream,
     "streaming_mart": lambda t: star.streaming_mart(_stream(t)),
     "weekly_suppliers": lambda t: detectors.weekly_suppliers(_read(t.spark, t.sf_dir, "orders"), _read(t.spark, t.sf_dir, "lineitem")),
 }
 
 #: Columns that both engines give as text, so that results compare by value.
 TIMES = {
-    "event_date": "lake labels_lake sessions rollup rollup_naive daily_mart fact q2_off_hours q2_off_hours_low q4_failure_spikes q4_failure_spikes_low vector_features preset_off_hours preset_new_paths preset_failures vector_unit streaming_windows",
+    "event_date": "lake labels_lake sessions rollup rollup_naive rollup_window daily_mart stored_mart stored_vector_labels stored_q2_off_hours stored_q4_failure_spikes extract_sample streaming_mart preset_off_hours_low preset_failures_low fact q2_off_hours q2_off_hours_low q4_failure_spikes q4_failure_spikes_low vector_features preset_off_hours preset_new_paths preset_failures vector_unit streaming_windows",
     "event_ts": "lake fact",
     "first_date": "rollup_stats",
     "last_date": "rollup_stats",
     "first_seen_date": "dim_identity",
     "last_seen_date": "dim_identity",
     "calendar_date": "dim_time",
-    "window_start": "streaming_windows",
-    "window_end": "streaming_windows",
+    "window_start": "streaming_windows streaming_mart",
+    "window_end": "streaming_windows streaming_mart",
 }
 
 
@@ -255,18 +309,18 @@ def _sql(body: str) -> str:
     return "with recursive " + ",\n".join(f"{name} as ({text})" for name, text in _CTES.items()) + "\n" + body
 
 
-def _q2(t: detectors.Thresholds) -> str:
+def _q2(t: detectors.Thresholds, order: str = "excess_over_own_baseline desc, off_hours_events desc") -> str:
     return f"""select src_user as identity, event_date, auth_count, off_hours_events, round(off_hours_share, 4) as off_hours_share_today,
   round(round(off_hours_share_baseline_mean, 9), 4) as off_hours_share_baseline, round(round(off_hours_share - off_hours_share_baseline_mean, 9), 4) as excess_over_own_baseline, baseline_days_available, is_redteam_day
   from human where auth_count >= {t.volume} and baseline_days_available >= {t.history} and off_hours_share > 0 and off_hours_share_baseline_mean < {t.usual} and off_hours_share > {t.unusual}
-  order by excess_over_own_baseline desc, off_hours_events desc, identity, event_date limit {t.top}"""
+  order by {order}, identity, event_date limit {t.top}"""
 
 
-def _q4(t: detectors.Thresholds) -> str:
+def _q4(t: detectors.Thresholds, order: str = "round(failure_ratio_zscore, 9) desc, failure_count desc") -> str:
     return f"""select m.src_user as identity, event_date, auth_count, failure_count, round(failure_ratio, 4) as failure_ratio_today, round(failure_ratio_baseline_mean, 4) as failure_ratio_baseline,
   round(failure_ratio_baseline_stddev, 4) as baseline_stddev, round(failure_ratio_zscore, 2) as failure_zscore, baseline_days_available, distinct_dst_computers, is_redteam_day, is_machine_account
   from mart m join who w on m.identity_key = w.identity_key where round(failure_ratio_zscore, 9) > {t.z} and failure_count >= {t.failures}
-  order by round(failure_ratio_zscore, 9) desc, failure_count desc, m.src_user, event_date limit {t.top}"""
+  order by {order}, m.src_user, event_date limit {t.top}"""
 
 
 def _q5(t: detectors.Thresholds) -> str:
@@ -303,13 +357,14 @@ _SQL = {
     "lake": _sql("select * from auth"),
     "labels_lake": _sql("select * from marks"),
     "sessions": _sql(f"""select src_user, src_computer, session_start, session_end, event_count, distinct_destinations, success_count, event_date, session_end - session_start as duration_seconds,
-  substr(sha256(concat_ws('|', src_user, src_computer, cast(session_start as varchar))), 1, 16) as session_id from {_SESSION_SQL}"""),
-    "session_stats": _sql(f"select count(*) as sessions, round(avg(event_count), 6) as avg_events, round(avg(session_end - session_start), 6) as avg_duration, max(event_count) as max_events from {_SESSION_SQL}"),
+  substr(sha256(concat_ws('|', src_user, src_computer, cast(s as varchar))), 1, 16) as session_id from {_SESSION_SQL}"""),
+    "session_stats": _sql(f"select count(*) as sessions, round(avg(event_count), 6) as avg_events, round(avg(session_end - session_start), 6) as avg_duration, max(event_count) as max_events, quantile_disc(session_end - session_start, 0.5) as median_duration from {_SESSION_SQL}"),
     "session_windows": _sql(f"select src_user, src_computer, session_start, session_end, event_count, session_end - session_start as duration_seconds from {_SESSION_SQL}"),
     "hour_histogram": _sql("""select hour_of_day, count(*) as events, count(*) filter (not coalesce(src_is_machine, false)) as human_events, count(*) filter (src_is_machine) as machine_events,
   count(*) filter (is_failure) as failures, count(distinct src_user) as identities from auth group by 1"""),
     "rollup": _sql(_DAILY_SQL),
     "rollup_naive": _sql(_DAILY_SQL),
+    "rollup_window": _sql(_DAILY_SQL + " where event_date < date '2015-01-08'"),
     "rollup_stats": _sql('select count(*) as "rows", count(distinct src_user) as identities, sum(is_redteam_day::int)::bigint as redteam_days, max(distinct_dst_computers) as max_fanout, min(event_date) as first_date, max(event_date) as last_date from daily'),
     "daily_mart": _sql(f"select * replace ({', '.join(f'case when round({c}, 6) = 0 then 0::double else round({c}, 6) end as {c}' for c in _MART_ROUNDED)}) from mart"),
     "fact": _sql("""select time, src_user, src_computer, dst_computer, event_date, hour_of_day, event_ts, auth_type, logon_type, auth_orientation, 1 as event_count, coalesce(is_success, false)::int as success_count,
@@ -339,12 +394,27 @@ _SQL = {
     "q4_failure_spikes_low": _sql(_q4(LOW)),
     "q5_evaluation": _sql(_q5(PUBLISHED)),
     "q5_evaluation_low": _sql(_q5(LOW)),
-    **{name: _preset_sql(name) for name in detectors.PRESETS},
+    **{name: _preset_sql(name) for name in ("preset_fanout", "preset_new_paths")},
+    **{f"preset_off_hours{x}": _sql(f"select identity, event_date, auth_count, off_hours_events, off_hours_share_today as off_hours_today, off_hours_share_baseline as their_baseline, excess_over_own_baseline as excess, is_redteam_day from ({_q2(t, 'excess_over_own_baseline desc')})") for x, t in (("", PUBLISHED), ("_low", LOW))},
+    **{f"preset_failures{x}": _sql(f"select identity, event_date, auth_count, failure_count, failure_ratio_today, failure_zscore as z_score, baseline_days_available, is_redteam_day from ({_q4(t, 'round(failure_ratio_zscore, 9) desc')})") for x, t in (("", PUBLISHED), ("_low", LOW))},
+    **{f"preset_detectors{x}": _sql(f"select case left(detector, 2) when 'Q1' then 'Q1 fan-out spike' when 'Q2' then 'Q2 off-hours' when 'Q3' then 'Q3 new access paths' when 'Q4' then 'Q4 failure spike' else detector end as detector, redteam_days_total as redteam_days, redteam_days_caught as caught, redteam_days_missed as missed, recall_pct, alerts_raised as alerts_to_triage, precision_pct, lift_over_random from ({_q5(t)}) where detector not like 'TWO%'") for x, t in (("", PUBLISHED), ("_low", LOW))},
+    "stored_q2_off_hours": _sql(_q2(LOW)),
+    "stored_q4_failure_spikes": _sql(_q4(LOW)),
+    "stored_q5_evaluation": _sql(_q5(LOW)),
+    "stored_vector_labels": _sql("""select concat_ws('|', src_user, cast(event_date as varchar)) as id, src_user, event_date, is_redteam_day as is_attack, 52 as dimensions from daily"""),
+    "graph_window_edges": _sql("""select src_user as "user", dst_computer as computer, count(*) as "count", min(time) as first_seen, max(time) as last_seen, round(sum(coalesce(is_success, false)::int)::double / count(*), 4) as success_ratio,
+  exists (select 1 from marks m where m."user" = a.src_user and m.dst_computer = a.dst_computer and m.day_index >= 2 and m.day_index < 9) as is_redteam from auth a
+  where src_user is not null and dst_computer is not null and day_index >= 2 and day_index < 9 group by src_user, dst_computer"""),
+    "graph_window_computers": _sql("""select dst_computer as name, dst_computer in (select src_computer from marks where day_index between 2 and 8) as is_redteam_pivot,
+  dst_computer in (select dst_computer from marks where day_index between 2 and 8) as is_redteam_target from (select distinct dst_computer from auth where src_user is not null and dst_computer is not null and day_index between 2 and 8)"""),
+    "graph_subgraph_json": _sql("""select distinct 'node' as part, unnest([e."user", e.computer]) as name from edges e join hosts h on e.computer = h.name where is_redteam or is_redteam_pivot or is_redteam_target
+  union all select 'edge', e."user" || '>' || e.computer from edges e join hosts h on e.computer = h.name where is_redteam or is_redteam_pivot or is_redteam_target"""),
     "graph_users": _sql("select * from users"),
     "graph_computers": _sql("select * from hosts"),
     "graph_edges": _sql("select * from edges"),
     "graph_counts": _sql("select (select count(*) from users) as users, (select count(*) from hosts) as computers, count(*) as edges, count(*) filter (is_redteam) as redteam_edges from edges"),
-    "graph_blast_radius": _sql("""select s.name as start, count(distinct e1.computer) as hop1_hosts, count(distinct e2."user") as hop2_peers, count(distinct e3.computer) as hop3_hosts
+    "graph_blast_radius": _sql("""select s.name as start, count(distinct e1.computer) as hop1_hosts, count(distinct e2."user") as hop2_peers, count(distinct e3.computer) as hop3_hosts,
+  array_to_string(list_slice(list_sort(list_distinct(list(e1.computer))), 1, 25), ',') as hop1_sample
   from (select name from top14 where r <= 8 union all select * from (select "user" as name from edges join users on "user" = name where not is_compromised and not is_machine group by 1 order by count(*) desc, 1 limit 8 offset 5)) s
   join edges e1 on e1."user" = s.name left join edges e2 on e2.computer = e1.computer and e2."user" <> s.name
   left join edges e3 on e3."user" = e2."user" and e3.computer <> e1.computer group by 1"""),
@@ -356,7 +426,6 @@ _SQL = {
     "graph_top_attackers": _sql('select "user" as name, count(*) as redteam_edges from edges where is_redteam group by 1 order by 2 desc, 1 limit 8'),
     "graph_control_group": _sql('select "user" as name, count(*) as degree from edges join users on "user" = name where not is_compromised and not is_machine group by 1 order by 2 desc, 1 limit 8 offset 5'),
     "graph_attack_subgraph": _sql("select e.* from edges e join hosts h on e.computer = h.name where is_redteam or is_redteam_pivot or is_redteam_target"),
-    "vector_unit": _sql("select src_user, event_date, 52 as dimensions, 1.0::double as length from daily"),
     "vector_anomalies": f"select q as id, round(avg(d), 5) as anomaly_score from ({_NEAREST}) where r <= 20 group by 1",
     "vector_retrieval": f"""select count(*) as queries, round(avg(h), 2) as mean_hits, round(100 * avg(h) / 10, 2) as precision_at_k_pct, count(*) filter (h > 0) as with_a_hit, count(*) filter (h = 0) as without,
   round(100 * any_value(b), 4) as base_rate_pct, round(avg(h) / 10 / any_value(b), 1) as lift_over_random
@@ -364,7 +433,8 @@ _SQL = {
     "vector_lookalikes": """select id, round(s, 5) as similarity from (select b.vec_id as id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on b.vec_id <> a.vec_id where a.vec_id = 0)
   order by round(s, 9) desc, id limit 10""",
     "streaming_windows": _sql("""select * from (select date_trunc('minute', event_ts) as window_start, date_trunc('minute', event_ts) + interval 1 minute as window_end, src_user, count(*) as auth_count,
-  sum(coalesce(is_failure, false)::int)::bigint as failure_count, sum(coalesce(is_success, false)::int)::bigint as success_count, cast(date_trunc('minute', event_ts) as date) as event_date
+  sum(coalesce(is_failure, false)::int)::bigint as failure_count, sum(coalesce(is_success, false)::int)::bigint as success_count, cast(date_trunc('minute', event_ts) as date) as event_date,
+  count(distinct dst_computer) as distinct_dst_computers, count(distinct src_computer) as distinct_src_computers, 0::bigint as max_produce_ts_ms
   from auth where src_user is not null group by 1, 2, 3) where window_end <= (select max(event_ts) - interval 2 minute from auth)"""),
     "weekly_suppliers": """select *, suppliers - prev_suppliers as delta from (select *, lag(suppliers) over (partition by o_custkey order by week_index) as prev_suppliers from (
   select o_custkey, cast(floor(date_diff('day', date '1992-01-01', cast(o_orderdate as date)) / 7.0) as bigint) as week_index, count(distinct l_suppkey) as suppliers
@@ -372,25 +442,96 @@ _SQL = {
 }
 
 
-def _share_sql() -> str:
+def _share_sql(digits: int | None = 6) -> str:
     """Shares of the behaviour vector, by the same vocabularies."""
     names, parts = vectors.feature_names()[6:-1], [f"hour_of_day = {h}" for h in range(24)]
     for column, words in vectors.VOCABULARIES.items():
         known = [f"starts_with(coalesce({column}, ''), '{w}')" for w in words]
         parts += [*known, f"not ({' or '.join(known)})"]
-    return ", ".join(f"round(count(*) filter ({p})::double / count(*), 6) as {n}" for p, n in zip(parts, names, strict=True))
+    whole = lambda p: f"count(*) filter ({p})::double / count(*)"
+    return ", ".join(f"{f'round({whole(p)}, {digits})' if digits else whole(p)} as {n}" for p, n in zip(parts, names, strict=True))
+
+
+def _features_sql(digits: int | None = 6) -> str:
+    counts = {"auth_count": "count(*)", "failure_count": "count(*) filter (is_failure)", "distinct_dst": "count(distinct dst_computer)", "distinct_src": "count(distinct src_computer)", "new_dst": "coalesce(any_value(f.n), 0)"}
+    logs = [(f"ln(1 + {c})", f"log_{n}") for n, c in counts.items()] + [("count(*) filter (is_failure)::double / count(*)", "failure_ratio")]
+    return f"""select a.src_user, a.event_date, {", ".join(f"{f'round({x}, {digits})' if digits else x} as {n}" for x, n in logs)}, {_share_sql(digits)}, bool_or(src_is_machine)::int::double as is_machine
+  from auth a left join fresh f on a.src_user = f.src_user and a.event_date = f.event_date where a.src_user is not null group by 1, 2"""
+
+
+def _unit_sql() -> str:
+    """Every dimension standardised by its mean and deviation over all rows, then divided by the row's length."""
+    names = vectors.feature_names()
+    stats = ", ".join(f"avg({n}) as m_{n}, case when stddev_pop({n}) > 0 then stddev_pop({n}) else 1 end as s_{n}" for n in names)
+    z = ", ".join(f"({n} - m_{n}) / s_{n} as {n}" for n in names)
+    length = " + ".join(f"{n} * {n}" for n in names)
+    unit = ", ".join(f"round(({n} / (case when len > 0 then len else 1 end))::float::double, 5) + 0.0::double as {n}" for n in names)
+    return _sql(f"""select src_user, event_date, {unit} from (select *, sqrt({length}) as len from (
+  select f.src_user, f.event_date, {z} from ({_features_sql(None)}) f, (select {stats} from ({_features_sql(None)})) s))""")
+
+
+_PATHS = """,
+step as (select "user" as f, computer as t, "count" as w, is_redteam as r from edges union all select computer, "user", "count", is_redteam from edges),
+walk as (select name as src, name as node, 0 as hop, {'p': [name], 'w': []::bigint[], 'r': false} as best from top14 where r <= 6
+  union all select src, t, hop + 1, min({'p': list_append(best.p, t), 'w': list_append(best.w, w::bigint), 'r': best.r or step.r}) from walk join step on node = f where hop < 6 group by src, t, hop),
+shortest as (select a.src, b.dst, min(hop)::int as hops, arg_min(best, hop) as best from walk a join top14 x on x.name = a.src
+  join (select name as dst, r from top14) b on a.node = b.dst where x.r < b.r group by 1, 2)
+"""
+
+
+def _paths_sql(body: str) -> str:
+    return _sql(body).replace("\n" + body, _PATHS + body)
+
+
+def _checks_sql() -> str:
+    """Violations of every check, counted from the tables themselves."""
+    nulls = {
+        "fact": ("auth_fact", "event_date src_user event_count success_count failure_count is_off_hours is_redteam_event"),
+        "dim_identity": ("who", "identity_key identity_name is_machine_account is_compromised total_auth_events"),
+        "dim_computer": ("dim_hosts", "computer_key computer_name host_role is_redteam_pivot is_redteam_target"),
+        "dim_time": ("days", "time_key calendar_date day_index week_index has_redteam_activity"),
+        "mart": ("mart", "identity_key time_key event_date auth_count is_redteam_day distinct_dst_computers"),
+    }
+    rows = [f"select 'not_null {name}.{c}' as \"check\", count(*) filter ({c} is null) as violations from {table}" for name, (table, columns) in nulls.items() for c in columns.split()]
+    for table, name, keys in (("who", "dim_identity", "identity_key"), ("dim_hosts", "dim_computer", "computer_key"), ("days", "dim_time", "time_key"), ("who", "dim_identity", "identity_name"),
+                              ("dim_hosts", "dim_computer", "computer_name"), ("days", "dim_time", "calendar_date"), ("days", "dim_time", "day_index"), ("mart", "mart", "identity_key, event_date")):
+        rows.append(f"select 'unique {name}.{keys.replace(', ', '+')}', count(*) from (select 1 from {table} group by {keys} having count(*) > 1)")
+    for child, column, parent, key, name in (("mart", "identity_key", "who", "identity_key", "mart"), ("mart", "time_key", "days", "time_key", "mart"), ("auth_fact", "src_user", "who", "identity_name", "fact"),
+                                             ("auth_fact", "dst_computer", "dim_hosts", "computer_name", "fact"), ("auth_fact", "src_computer", "dim_hosts", "computer_name", "fact"), ("auth_fact", "event_date", "days", "calendar_date", "fact")):
+        rows.append(f"select 'relationship {name}.{column}', count(*) from {child} where {column} is not null and {column} not in (select {key} from {parent})")
+    rows.append("select 'accepted staging.outcome', count(*) from auth where outcome not in ('Success', 'Fail')")
+    rows.append("select 'accepted dim_computer.host_role', count(*) from dim_hosts where host_role not in ('destination_only', 'source_only', 'server_like', 'workstation_like')")
+    rows.append("""select 'rollup reconciles with fact', count(*) from (select event_date, sum(event_count) as n from auth_fact group by 1) a
+  full join (select event_date, sum(auth_count) as n from mart group by 1) b on a.event_date = b.event_date where a.n is distinct from b.n""")
+    tables = f",\nauth_fact as ({_bare('fact')}),\ndim_hosts as ({_bare('dim_computer')})\n"
+    body = "\nunion all ".join(rows)
+    return _sql(body).replace("\n" + body, tables + body)
+
+
+def _bare(name: str) -> str:
+    """The last part of a registered statement, for use as a table beside the others."""
+    return _SQL[name][len(_sql("")) :]
 
 
 _SQL |= {
-    "vector_features": _sql(f"""select a.src_user, a.event_date, round(ln(1 + count(*)), 6) as log_auth_count, round(ln(1 + count(*) filter (is_failure)), 6) as log_failure_count,
-  round(ln(1 + count(distinct dst_computer)), 6) as log_distinct_dst, round(ln(1 + count(distinct src_computer)), 6) as log_distinct_src, round(ln(1 + coalesce(any_value(f.n), 0)), 6) as log_new_dst,
-  round(count(*) filter (is_failure)::double / count(*), 6) as failure_ratio, {_share_sql()}, bool_or(src_is_machine)::int::double as is_machine
-  from auth a left join fresh f on a.src_user = f.src_user and a.event_date = f.event_date where a.src_user is not null group by 1, 2"""),
-    "graph_shortest_paths": _sql("""select src, dst, min(hop)::int as hops from reach join top14 a on a.name = src join (select name as dst, r from top14) b on node = dst where a.r < b.r group by 1, 2""").replace(
-        "\nselect src, dst", """,
-reach as (select name as src, name as node, 0 as hop from top14 where r <= 6
-  union select src, t, hop + 1 from reach join (select "user" as f, computer as t from edges union all select computer, "user" from edges) on node = f where hop < 6)
-select src, dst"""),
+    "vector_features": _sql(_features_sql()),
+    "vector_unit": _unit_sql(),
+    "graph_shortest_paths": _paths_sql("select src, dst, hops, array_to_string(best.p, '>') as path, array_to_string(best.w, '>') as weights, best.r as any_redteam from shortest"),
+    "graph_hop_histogram": _paths_sql("select hops, count(*) as paths from shortest group by hops"),
+    "data_checks": _checks_sql(),
+    "vector_budgets": f"""with s as (select q as id, avg(d) as score from ({_NEAREST}) where r <= 20 group by q),
+r as (select row_number() over (order by round(score, 9) desc, id) as place, label = 3 as hit from s join embeddings e on e.vec_id = s.id)
+select detector, alerts, count(*) filter (hit and place <= alerts) as caught, count(*) filter (hit and place > alerts) as missed,
+  round(100.0::double * count(*) filter (hit and place <= alerts) / nullif(count(*) filter (hit), 0), 1) as recall_pct, round(100.0::double * count(*) filter (hit and place <= alerts) / alerts, 3) as precision_pct
+from r, (values ('a', 20::bigint), ('b', 100), ('all', 1000000000)) b(detector, alerts) where alerts < (select count(*) from r) group by 1, 2""",
+    "vector_payload": f"""select id, hit as is_attack, round(score, 5) as anomaly_score from (select q as id, avg(d) as score from ({_NEAREST}) where r <= 20 group by q)
+  join (select vec_id, label = 3 as hit from embeddings) on vec_id = id where hit or ('0x' || substr(md5(cast(id as varchar)), 1, 8))::bigint % 64 = 0""",
+    "extract_sample": _sql("""select src_user, event_date, is_redteam_day from mart where is_redteam_day or ('0x' || substr(md5(concat_ws('|', src_user, cast(event_date as varchar))), 1, 8))::bigint % 64 = 0"""),
+    "streaming_mart": "select md5(concat_ws('|', src_user, strftime(window_start, '%Y-%m-%d %H:%M:%S'))) as window_key, md5(src_user) as identity_key, md5(cast(event_date as varchar)) as time_key, src_user, window_start, window_end, event_date, auth_count, success_count, failure_count, "
+    f"failure_count::double / auth_count as failure_ratio, distinct_dst_computers as distinct_dst_computers_approx, distinct_src_computers as distinct_src_computers_approx from ({_SQL['streaming_windows']})",
+    "stored_mart": _SQL["daily_mart"],
+    "stored_q1_weekly_fanout": _SQL["q1_weekly_fanout"],
+    "stored_q3_new_paths": _SQL["q3_new_paths"],
 }
 
 

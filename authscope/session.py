@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "authscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,25 @@ def session(app: str = "authscope", master: str | None = None, **conf: str) -> S
         "spark.sql.parquet.compression.codec": "snappy",
     }
     return builder.config(map=settings | conf).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it. Without one, a local session gets a folder of
+    its own; a cluster is refused, since a machine's own disk loses data there."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or "file:///tmp/checkpoints/authscope").rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage: a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
+from collections.abc import Iterable
+from itertools import islice
+from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from authscope.sources import log
+
 WINDOW, WATERMARK, TRIGGER = "1 minute", "2 minutes", "5 seconds"
 
 
@@ -23,22 +31,18 @@ def windowed(events: DataFrame, window: str = WINDOW, watermark: str = WATERMARK
 
 
 def start(windows: DataFrame, sink: str, lag: str, checkpoint: str, available_now: bool = True, trigger: str = TRIGGER):
-    """Write finished windows, a folder per batch, and a row of lag per batch. A batch that runs again replaces its
-    own folder, so nothing is written twice. Empty batches leave nothing."""
+    """Write finished windows by batch and event date, and the lag of each window. A batch that runs again replaces its
+    own folder, so nothing is written twice; a reader prunes by event_date. Empty batches leave nothing."""
 
     def commit(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
             if kept.isEmpty():
                 return
-            kept.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            kept.write.mode("overwrite").partitionBy("event_date").parquet(f"{sink}/batch={number}")
             committed = int(time.time() * 1000)
-            late = F.lit(committed) - F.col("max_produce_ts_ms")
-            facts = kept.agg(
-                F.count("*").alias("windows"), F.sum("auth_count").alias("events"), F.min(late).alias("min_lag_ms"), F.max(late).alias("max_lag_ms"),
-                F.avg(late).alias("mean_lag_ms"), F.percentile_approx(late, [0.5, 0.9, 0.95, 0.99]).alias("lag_percentiles_ms"), F.lit(committed).alias("committed_ms"),
-            )
-            facts.write.mode("overwrite").parquet(f"{lag}/batch={number}")
+            samples = kept.select("window_start", "window_end", "src_user", "auth_count", (F.lit(committed) - F.col("max_produce_ts_ms")).alias("lag_ms"), F.lit(committed).alias("committed_ms"))
+            samples.write.mode("overwrite").parquet(f"{lag}/batch={number}")
         finally:
             kept.unpersist()
 
@@ -68,15 +72,73 @@ def nearest_rank(values: list[float], percent: float) -> float | None:
     return ordered[max(0, min(len(ordered) - 1, round(percent / 100 * len(ordered) + 0.5) - 1))] if ordered else None
 
 
+def lag_percentiles(lag: DataFrame, percents: tuple[float, ...] = (50, 90, 95, 99)) -> DataFrame:
+    """Lag over all windows of a run: windows, smallest, mean and largest, and percentiles (approximate over 10,000 windows)."""
+    wanted = [F.percentile_approx("lag_ms", p / 100, 10_000).alias(f"p{p:g}_ms") for p in percents]
+    return lag.agg(F.count("*").alias("windows"), F.min("lag_ms").alias("min_ms"), F.avg("lag_ms").alias("mean_ms"), F.max("lag_ms").alias("max_ms"), *wanted)
+
+
 def summary(spark: SparkSession, sink: str, lag: str) -> dict:
     """Lag and throughput of a run; a run that wrote no window is an error."""
     made, late = read_sink(spark, sink), spark.read.parquet(lag)
     w = made.agg(F.count("*"), F.sum("auth_count"), F.unix_timestamp(F.max("window_end")) - F.unix_timestamp(F.min("window_start"))).first()
     if not w[0]:
         raise RuntimeError("the stream wrote no window")
-    b = late.agg(F.count("*"), F.max("committed_ms") - F.min("committed_ms"), F.max("max_lag_ms"), F.min("min_lag_ms")).first()
+    b = late.agg(F.countDistinct("batch") if "batch" in late.columns else F.lit(1), F.max("committed_ms") - F.min("committed_ms")).first()
     wall = b[1] / 1000
     return {
         "windows": w[0], "events_aggregated": w[1], "batches": b[0], "wall_s": wall, "throughput_per_s": w[1] / wall if wall else None,
-        "event_time_span_s": w[2], "acceleration": w[2] / wall if wall else None, "max_lag_ms": b[2], "min_lag_ms": b[3],
+        "event_time_span_s": w[2], "acceleration": w[2] / wall if wall else None, **lag_percentiles(late).drop("windows").first().asDict(),
     }
+
+
+class Replay(threading.Thread):
+    """A paced producer: (user, JSON message) pairs go to a folder as files of `per_file` messages, at `rate` messages a
+    second and with the time they were produced. What stops it is kept in `error`."""
+
+    def __init__(self, messages: Iterable[tuple[str, str]], folder: str, rate: float = 5000.0, per_file: int = 1000):
+        super().__init__(daemon=True)
+        self.messages, self.folder, self.rate, self.per_file, self.error, self.sent = messages, Path(folder), rate, per_file, None, 0
+
+    def run(self) -> None:
+        try:
+            self.folder.mkdir(parents=True, exist_ok=True)
+            began, turn = time.monotonic(), iter(self.messages)
+            while some := list(islice(turn, self.per_file)):
+                now = int(time.time() * 1000)
+                lines = [json.dumps(json.loads(m) | {"produce_ts_ms": now}) for _, m in some]
+                part = self.folder / f".{self.sent:012d}.json"  # hidden until it is whole
+                part.write_text("\n".join(lines) + "\n")
+                part.rename(self.folder / part.name[1:])
+                self.sent += len(some)
+                time.sleep(max(0.0, began + self.sent / self.rate - time.monotonic()))
+        except BaseException as e:  # noqa: BLE001  the consumer raises it
+            self.error = e
+
+
+def replay_run(spark: SparkSession, messages: Iterable[tuple[str, str]], folder: str, rate: float = 5000.0, per_file: int = 1000, trigger: str = "1 second") -> dict:
+    """Producer and consumer side by side over `folder`, until all that was produced is read; the run's summary.
+
+    A producer that dies, a stream that fails and a run without windows are errors.
+    """
+    producer = Replay(messages, f"{folder}/in", rate, per_file)
+    Path(f"{folder}/in").mkdir(parents=True, exist_ok=True)
+    events = log.stream_files(spark, f"{folder}/in", 1000)
+    query = start(windowed(events), f"{folder}/sink", f"{folder}/lag", f"{folder}/state", available_now=False, trigger=trigger)
+    try:
+        producer.start()
+        while producer.is_alive() and query.isActive:
+            producer.join(0.2)
+        if query.isActive:
+            query.processAllAvailable()
+        if query.exception():
+            raise query.exception()
+        rates = progress(query)
+    finally:
+        query.stop()
+    if producer.error:
+        raise RuntimeError("the producer died") from producer.error
+    try:
+        return summary(spark, f"{folder}/sink", f"{folder}/lag") | rates | {"produced": producer.sent}
+    except AnalysisException as e:  # no sink was ever written
+        raise RuntimeError("the stream wrote no window") from e

@@ -11,7 +11,7 @@ from authscope.session import session
 
 HEADLINE = [
     "lake", "sessions", "hour_histogram", "rollup", "daily_mart", "dim_identity", "dim_computer", "q1_weekly_fanout", "q2_off_hours", "q3_new_paths",
-    "q4_failure_spikes", "q5_evaluation", "graph_edges", "graph_blast_radius", "graph_choke_points", "graph_shortest_paths", "vector_features", "vector_unit",
+    "q4_failure_spikes", "q5_evaluation", "stored_mart", "stored_q1_weekly_fanout", "stored_q2_off_hours", "stored_q3_new_paths", "stored_q4_failure_spikes", "stored_q5_evaluation", "graph_edges", "graph_blast_radius", "graph_choke_points", "graph_shortest_paths", "vector_features", "vector_unit",
     "vector_anomalies", "vector_retrieval", "streaming_windows", "weekly_suppliers",
 ]
 

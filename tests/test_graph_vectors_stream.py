@@ -161,3 +161,69 @@ def test_queries_match_sql(spark, name):
     text = lambda v: "" if v is None else f"{v:.5f}" if isinstance(v, float) else str(v)
     assert sorted(ours.columns) == sorted(columns)
     assert sorted(tuple(text(r[c]) for c in columns) for r in ours.collect()) == sorted(tuple(map(text, r)) for r in theirs.fetchall())
+
+
+def test_the_grid_of_blocks_is_exact_and_the_index_finds_most(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 8)) * 6
+    x = np.concatenate([centres[i % 20] + rng.standard_normal(8) for i in range(1200)]).reshape(-1, 8)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    asked = rows.filter("id < 40")
+    exact = vectors.nearest(rows, asked, 5, block_rows=150)
+    found = {(r["query"], r["rank"]): r["id"] for r in exact.collect()}
+    for q in range(40):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert [found[q, r] for r in range(1, 6)] == np.argsort(d, kind="stable")[:5].tolist()
+    by_index = vectors.nearest(rows, asked, 5, index=vectors.Index(probes=4, block_rows=50))
+    assert vectors.recall(by_index, exact).first()["recall"] >= 0.9
+    empty = rows.limit(0)
+    assert vectors.nearest(empty, asked, 5).count() == 0 and vectors.nearest(rows, empty, 5, index=vectors.Index()).count() == 0
+
+
+def test_budget_ranks_over_many_parts(spark):
+    scores = spark.createDataFrame([(i, float(i % 50), i % 7 == 0) for i in range(500)], "id long, anomaly_score double, is_attack boolean")
+    ranked = sorted(((-(i % 50), i) for i in range(500)))
+    made = vectors.at_budgets(scores, spark.createDataFrame([("a", 37), ("b", 400)], "detector string, alerts long"), parts=9).collect()
+    assert {r["detector"]: r["caught"] for r in made} == {n: sum(i % 7 == 0 for _, i in ranked[:k]) for n, k in (("a", 37), ("b", 400))}
+
+
+def test_exports_and_payload(spark):
+    pairs = spark.createDataFrame([("U1", "U3")], "src string, dst string")
+    (one,) = graph.paths_json(graph.shortest_paths(edges(spark, *TOY), pairs)).collect()
+    told = json.loads(one["json"])
+    assert [n["kind"] for n in told["nodes"]] == ["user", "computer", "user", "computer", "user"] and told["edges"][0] == {"from": "U1", "to": "C1", "count": 1}
+    rows = spark.createDataFrame([(i, [0.0, float(i)], i == 3) for i in range(200)], "id long, vector array<double>, is_attack boolean")
+    kept = vectors.payload(rows, vectors.anomaly_scores(rows, 3)).collect()
+    assert 3 in {r["id"] for r in kept} and len(kept) < 40 and all(r["anomaly_score"] > 0 for r in kept)
+
+
+def test_lag_over_a_run_and_pruned_sink(spark, tmp_path):
+    run(spark, tmp_path, [[message(t) for t in (0, 70, 130)], [message(600)], [message(1200)]])
+    late = spark.read.parquet(f"{tmp_path}/lag")
+    assert windows.lag_percentiles(late).first()["windows"] == late.count() == windows.read_sink(spark, f"{tmp_path}/sink").count()
+    plan = windows.read_sink(spark, f"{tmp_path}/sink").filter("event_date = date'2015-01-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_replay_and_its_failures(spark, tmp_path):
+    sent = [("U1@D", message(t)) for t in range(0, 1200, 30)]
+    found = windows.replay_run(spark, sent, str(tmp_path / "ok"), rate=1000, per_file=10)
+    assert found["windows"] >= 16 and found["produced"] == 40 and found["p50_ms"] >= 0 and found["batches"] >= 1
+
+    def broken():
+        yield from sent
+        raise OSError("gone")
+
+    with pytest.raises(RuntimeError, match="producer died"):
+        windows.replay_run(spark, broken(), str(tmp_path / "dead"), rate=1000, per_file=10)
+    with pytest.raises(RuntimeError, match="no window"):
+        windows.replay_run(spark, sent[:1], str(tmp_path / "none"), rate=1000, per_file=10)
+
+
+def test_plain_file_sink(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(message(t) for t in (0, 900)) + "\n")
+    query = windows.start_files(windows.windowed(log.stream_files(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from authscope.functions import expressions as X
-from authscope.operators import diurnal, rollup, sessions, star
-from authscope.plans import detectors
+from authscope.operators import diurnal, graph, rollup, sessions, star
+from authscope.plans import detectors, warehouse
 from authscope.sources import log, sinks
 
 DAY = 86400
@@ -59,7 +60,7 @@ def test_lake_write_reads_back_and_prunes(spark, tmp_path):
     events = log.derive(raw(spark, [(0, "U1@D", "C1", "C2", "Success"), (DAY, "U1@D", "C1", "C2", "Fail"), (DAY, "U1@D", "C1", "C2", "Fail")]))
     assert sinks.write_by_date(events, str(tmp_path / "lake"), 2) == 3
     lake = log.read_lake(spark, str(tmp_path / "lake"))
-    plan = rollup.rollup(lake, labels(spark, []), max_day=0)._jdf.queryExecution().executedPlan().toString()
+    plan = rollup.rollup(lake, labels(spark, []), max_day=1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     sinks.write_extract(rollup.rollup(lake, labels(spark, [])), str(tmp_path / "extract"), ["src_user", "failure_ratio"])
     assert dict(spark.read.parquet(str(tmp_path / "extract")).dtypes) == {"src_user": "string", "failure_ratio": "float"}
@@ -87,7 +88,7 @@ TOY = [(100, "U1@D", "C1", "C2", "Success"), (200, "U1@D", "C1", "C2", "Success"
 
 
 @pytest.mark.parametrize("strategy", ["shared_grain", "naive"])
-@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("broadcast", [True, False, None])
 def test_toy_rollup(spark, strategy, broadcast):
     marked = labels(spark, [(DAY + 10, "U1@D", "C1", "C2"), (DAY + 15, "U1@D", "C1", "C5")])
     made = rollup.rollup(log.derive(raw(spark, TOY)), marked, [0, 1, 2, 3], strategy, broadcast).collect()
@@ -183,3 +184,58 @@ def test_upsert_is_idempotent(spark, tmp_path):
     old = spark.read.parquet(str(tmp_path / "1"))
     sinks.upsert(old, spark.createDataFrame([("b", 3)], "name string, n int"), ["name"], str(tmp_path / "2"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "2")).collect()} == {("a", 1), ("b", 3)}
+
+
+def test_day_bounds_leave_the_last_day_out(spark):
+    events, marked = log.derive(raw(spark, [(d * DAY + 5, "U1@D", "C1", f"C{d}", "Success") for d in range(4)])), labels(spark, [(3 * DAY, "U1@D", "C1", "C3")])
+    assert sorted(str(r["event_date"]) for r in rollup.rollup(events, marked, max_day=2).collect()) == ["2015-01-01", "2015-01-02"]
+    assert rollup.rollup(events, marked, max_day=0).count() == 0
+    users, hosts, edges = graph.build(events, labels(spark, [(3 * DAY, "U1@D", "C1", "C1")]), 0, 2)
+    assert {(r["computer"], r["is_redteam"]) for r in edges.collect()} == {("C0", False), ("C1", False)}  # the label is of day 3
+    assert not users.first()["is_compromised"] and not any(r["is_redteam_target"] for r in hosts.collect())
+
+
+def test_session_ids_hash_the_number_of_the_session(spark):
+    events = log.derive(raw(spark, [(100, "U1@D", "C1", "C2", "Success"), (90000, "U1@D", "C1", "C2", "Success")]))
+    made = [r["session_id"] for r in sessions.sessions(events).orderBy("session_start").collect()]
+    assert made == [hashlib.sha256(f"U1@D|C1|{n}".encode()).hexdigest()[:16] for n in (1, 2)]
+
+
+def test_warehouse_is_stored_and_its_views_answer_sql(spark, tmp_path):
+    events, marked = log.derive(raw(spark, TOY)), labels(spark, [(100, "U1@D", "C1", "C2")])
+    stored = warehouse.build(spark, events, marked, str(tmp_path / "w"), [0, 1])
+    want = rollup.baselines(rollup.rollup(events, marked, [0, 1]))
+    assert rollup.fingerprint(stored.mart.select(*want.columns)).first() == rollup.fingerprint(want).first()
+    again = warehouse.build(spark, events, marked, str(tmp_path / "w"), [0, 1])
+    assert rollup.fingerprint(again.mart.select(*want.columns)).first() == rollup.fingerprint(want).first()
+    stored.register()
+    assert spark.sql("select count(*) from mart m join who w on m.src_user = w.identity_name").first()[0] == 4
+    plan = detectors.weekly_fanout(stored.mart.filter("event_date = date'2015-01-02'"), stored.who, stored.days)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    days = warehouse.attack_days(stored).collect()
+    assert len(days) == 4 and [r["id"] for r in days if r["is_attack"]] == ["U1@D|2015-01-01"]
+    with pytest.raises(AttributeError):
+        stored.nothing  # noqa: B018
+
+
+def test_plain_sinks(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1)], "name string, n int")
+    sinks.run_only(table)
+    sinks.write_plain(table, str(tmp_path / "plain"))
+    sinks.write_json(table, str(tmp_path / "json"))
+    log.register(spark, stored=str(tmp_path / "plain"), made=table)
+    assert spark.sql("select count(*) from stored join made using (name, n)").first()[0] == 1
+    assert spark.read.json(str(tmp_path / "json")).first()["name"] == "a"
+    assert detectors.one_in(spark.range(100).selectExpr("cast(id as string) as value"), 1).count() == 100
+
+
+def test_a_shared_folder_is_demanded_on_a_cluster(spark):
+    from types import SimpleNamespace as Fake
+
+    from authscope.session import shared_dir
+
+    assert shared_dir(spark).startswith("file://")
+    conf = Fake(get=lambda *a: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(Fake(sparkContext=Fake(master="yarn", getConf=lambda: conf), conf=conf))
+    assert shared_dir(Fake(sparkContext=Fake(master="local[2]", getConf=lambda: conf), conf=conf))
