@@ -104,6 +104,19 @@ def fit_centroids(rows: DataFrame, total: int, p: Index) -> np.ndarray:
     return centroids
 
 
+def _in_cells(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """(cell, id, vector): every row in each of its `probes` nearest cells."""
+    shipped = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _near_cells(_matrix(batch.column(1)), shipped.value, probes)
+            which = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(which), batch.column(1).take(which)], names=["cell", "id", "vector"])
+
+    return rows.mapInArrow(run, f"cell long, id {rows.schema['id'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}")
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_type: str = "long", index: Index | None = None, block_rows: int = 8192) -> DataFrame:
     """(query, rank, id, distance): k nearest by squared Euclidean distance; a query's own id is left out.
 
@@ -111,32 +124,22 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_type: str = "long",
     it meets the rows of its nearest cells only. Cells, and the queries that look into one, are dealt into blocks of
     bounded size: every pair of blocks is a task's work of its own, keeps its best k per query, and the winners are merged.
     """
-    spark = rows.sparkSession
     rows, queries = rows.select("id", "vector").filter("id is not null and vector is not null"), queries.select("id", "vector").filter("id is not null and vector is not null")
     total = rows.count()
-    centroids = spark.sparkContext.broadcast(fit_centroids(rows, total, index) if index and total else np.zeros((1, 1)))
     size = index.block_rows if index else block_rows
-
-    def assigner(probes: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = batch.num_rows
-                near = _near_cells(_matrix(batch.column(1)), centroids.value, probes) if len(centroids.value) > 1 else np.zeros((n, 1), np.int64)
-                which = pa.array(np.repeat(np.arange(n), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(which), batch.column(1).take(which)], names=["cell", "id", "vector"])
-
-        return run
-
-    kind = rows.schema["vector"].dataType.simpleString()
-    placed = rows.mapInArrow(assigner(1), f"cell long, id {id_type}, vector {kind}")
-    asked = queries.mapInArrow(assigner(index.probes if index else 1), f"cell long, id {id_type}, vector {queries.schema['vector'].dataType.simpleString()}")
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
-    plan = cut(blocks(placed, "row_blocks").join(blocks(asked, "query_blocks"), "cell"))  # a row for each cell
+    if index and total:
+        centroids = fit_centroids(rows, total, index)
+        placed, asked = _in_cells(rows, centroids, 1), _in_cells(queries, centroids, index.probes)
+        blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+        plan = cut(blocks(placed, "row_blocks").join(blocks(asked, "query_blocks"), "cell"))  # a row for each cell
+        placed, asked = placed.join(plan, "cell"), asked.join(plan, "cell")
+    else:
+        whole = {"cell": F.lit(0).cast("long"), "row_blocks": F.lit(max(1, -(-total // size))).cast("long"), "query_blocks": F.lit(max(1, -(-queries.count() // size))).cast("long")}
+        placed, asked = rows.withColumns(whole), queries.withColumns(whole)
     dealt = lambda own, other: [
         F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), "id", "vector",
     ]
-    left = placed.join(plan, "cell").select("cell", *dealt("row_blocks", "query_blocks"))
-    right = asked.join(plan, "cell").select("cell", *dealt("query_blocks", "row_blocks"))
+    left, right = placed.select("cell", *dealt("row_blocks", "query_blocks")), asked.select("cell", *dealt("query_blocks", "row_blocks"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []

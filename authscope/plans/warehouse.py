@@ -34,19 +34,19 @@ class Warehouse:
         log.register(self.spark, **{name: self.read(name) for name in (*BY_DATE, *WHOLE)})
 
 
-def build(spark: SparkSession, events: DataFrame, labels: DataFrame, folder: str, band: list[int] | None = None, files: int | None = None) -> Warehouse:
+def build(spark: SparkSession, events: DataFrame, labels: DataFrame, folder: str, band: list[int] | None = None) -> Warehouse:
     """Write every table under folder, each from stored ones before it; equal inputs overwrite with equal tables.
 
-    events and labels are derived ones. files: files of a date; None leaves the layout to the writer's partitions.
+    events and labels are derived ones. Rows are dealt by date at write time; the engine splits large dates and joins small ones.
     """
     stored = Warehouse(spark, folder)
-    sinks.write_by_date(events, f"{folder}/lake", files)
+    sinks.write_by_date(events, f"{folder}/lake")
     sinks.write_plain(labels, f"{folder}/labels")
-    sinks.write_by_date(rollup.rollup(stored.lake, stored.labels, band), f"{folder}/daily", files)
-    sinks.write_by_date(rollup.baselines(stored.daily), f"{folder}/mart", files)
+    sinks.write_by_date(rollup.rollup(stored.lake, stored.labels, band), f"{folder}/daily")
+    sinks.write_by_date(rollup.baselines(stored.daily), f"{folder}/mart")
     for name, made in (("who", star.dim_identity), ("hosts", star.dim_computer), ("days", star.dim_time)):
         sinks.write_plain(made(stored.lake, stored.labels), f"{folder}/{name}")
-    sinks.write_by_date(vectors.vectors(vectors.features(stored.lake, stored.daily)), f"{folder}/vectors", files)
+    sinks.write_by_date(vectors.vectors(vectors.features(stored.lake, stored.daily)), f"{folder}/vectors")
     return stored
 
 

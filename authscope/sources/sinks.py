@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def write_by_date(df: DataFrame, path: str, files: int | None = None) -> int:
-    """Overwrite a date-partitioned table; its rows as they are counted on disk."""
-    (df.repartition(files, "event_date") if files else df).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    """Overwrite a date-partitioned table; its rows as they are counted on disk. Dates are dealt to `files` tasks, or by
+    default rebalanced by their measured size, so that a large date is split and small ones share a task."""
+    (df.repartition(files, "event_date") if files else df.hint("rebalance", "event_date")).write.mode("overwrite").partitionBy("event_date").parquet(path)
     return df.sparkSession.read.parquet(path).count()
 
 
