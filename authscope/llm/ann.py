@@ -3,9 +3,10 @@
 Trees are fitted on a bounded sample and shipped to every task; every row is indexed under its leaf in each
 tree. A query descends all trees at once through one shared priority queue ordered by the sum of the squared
 margins to the hyperplanes it crossed, until the leaves it took hold enough rows. Queries then meet the rows of their leaves
-by an equality join on (tree, leaf, block); blocks are slices of bounded size of a leaf, so that copies which
-fill one leaf are spread over many tasks. Each block keeps its exact best k per query, and the blocks' winners
-are merged: candidates are reranked by the exact distance of the original vectors.
+by an equality join on (bundle, block, part): blocks are slices of bounded size of a bundle of leaves, parts are slices
+of bounded size of the queries, so that neither copies which fill one leaf nor many queries fill one task. Each pair of
+slices keeps its exact best k distinct ids per query, and the winners are merged: candidates are reranked by the
+exact distance of the original vectors.
 """
 
 from __future__ import annotations
@@ -20,21 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.llm.common import small_batches
+from authscope.llm.common import picked
 
 
 @dataclass(frozen=True)
 class Forest:
     """trees; fit_rows: rows of the sample that hyperplanes are fitted on (expected number); leaf_rows: sample rows
     of a leaf at most; share: rows of the leaves that a query takes, as a part of all rows (one that several trees
-    offer counts several times), min_candidates at least; block_rows: rows of an index block."""
+    offer counts several times: at 1.2 a query meets about 0.7 of the distinct rows); block_rows, query_rows: rows and
+    queries that meet in one task."""
 
     trees: int = 8
     fit_rows: int = 16_384
-    leaf_rows: int = 16
-    share: float = 0.6
-    min_candidates: int = 8192
+    leaf_rows: int = 4
+    share: float = 1.2
     block_rows: int = 8192
+    query_rows: int = 8192
     seed: int = 7
 
 
@@ -85,8 +87,8 @@ def grow(sample: np.ndarray, p: Forest) -> list[Tree]:
     return [Tree(sample, p.leaf_rows, np.random.default_rng([p.seed, t])) for t in range(p.trees)]
 
 
-def search(trees: list[Tree], counts: list[np.ndarray], q: np.ndarray, enough: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared queue, until the leaves hold `enough` rows."""
+def search(trees: list[Tree], counts: list[np.ndarray], rows: list[np.ndarray], q: np.ndarray, enough: float) -> list[tuple[int, int]]:
+    """(tree, leaf) of leaves with rows, in the order of the shared queue, until `counts` of them add up to `enough`."""
     sides = [t.normals @ q - t.offsets for t in trees]
     queue = [(0.0, n, t.root) for n, t in enumerate(trees)]
     found, held = [], 0
@@ -97,7 +99,7 @@ def search(trees: list[Tree], counts: list[np.ndarray], q: np.ndarray, enough: f
             s = float(side[node])
             heapq.heappush(queue, (margin + s * s, n, int(children[node, 0 if s > 0 else 1])))
             node = int(children[node, 1 if s > 0 else 0])
-        if counts[n][-node - 1]:
+        if rows[n][-node - 1]:
             found.append((n, -node - 1))
             held += int(counts[n][-node - 1])
     return found
@@ -105,9 +107,9 @@ def search(trees: list[Tree], counts: list[np.ndarray], q: np.ndarray, enough: f
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(vec_id, vector as array<double>) of the rows whose vector has finite components that aren't all zero."""
-    v = F.col(vector).cast("array<double>")
-    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~odd & F.exists("vector", lambda x: x != 0))
+    v = F.col("vector").cast("array<double>")
+    odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return picked(vectors, vec_id=key, vector=vector).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~odd & F.exists("vector", lambda x: x != 0))
 
 
 def bundles(counts: list[np.ndarray], block_rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,7 +147,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
 
     vectors is searched, queries has the same columns; a query never finds rows of its own vec_id. Vectors that are
     null, zero, of another size than most, or hold null or non-finite components take no part, nor do rows without
-    id. Rows that repeat an id count once, by their nearest vector. Empty tables: empty result.
+    id. Rows that repeat an id count once, by their nearest vector; queries that repeat one have one answer, by whichever
+    of their vectors is nearer. Empty tables: empty result. Other columns of both are ignored.
     """
     spark = vectors.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -156,7 +159,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     dim, total = sizes[0]["dim"], sizes[0]["count"]
     rows = rows.filter(F.size("vector") == dim)
     asked = usable(queries, key, vector).filter(F.size("vector") == dim)
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(10**9))
+    asked_rows = asked.count()
+    parts = max(1, -(-asked_rows // p.query_rows))
+    place = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(10**9))  # by row, so that one id's rows aren't drawn as one
     part = min(1.0, p.fit_rows / total)
     sample = rows.filter(place < int(part * 10**9)).select(place.alias("place"), "vec_id", "vector").toArrow().sort_by([("place", "ascending"), ("vec_id", "ascending")])
     if not sample.num_rows:
@@ -170,21 +175,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
                 found, times = np.unique(tree.leaf(x), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n)), pa.array(found), pa.array(times)], names=["tree", "leaf", "n"])
 
-    small_batches(spark, 4096)
-    held = rows.select("vector").mapInArrow(leaves, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()
-    counts = [np.zeros(t.leaves, np.int64) for t in forest.value]
-    for r in held:
-        counts[r["tree"]][r["leaf"]] = r["n"]
-    plan = spark.sparkContext.broadcast((counts, bundles(counts, p.block_rows)))
-    enough = max(p.min_candidates, p.share * total)
+    def count(some: DataFrame) -> list[np.ndarray]:
+        out = [np.zeros(t.leaves, np.int64) for t in forest.value]
+        for r in some.select("vector").mapInArrow(leaves, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
+            out[r["tree"]][r["leaf"]] = r["n"]
+        return out
+
+    held, ids = count(rows), rows.select("vec_id").distinct().count()
+    # a query takes leaves by the ids in them, so that one id's many rows aren't taken for many neighbours
+    counts = held if ids == total else count(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    plan = spark.sparkContext.broadcast((counts, bundles(held, p.block_rows), held))
+    enough = max(p.share * ids, p.trees * (k + 1))  # leaves of one tree share no row: of so many, k are other ids
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
-            x, ids = matrix(batch.column(1), dim), batch.column(0).to_numpy()
+            x = matrix(batch.column(1), dim)
+            turn = np.arange(seen, seen + len(x))  # by place, not id or vector: either may fill a leaf
+            seen += len(x)
             for tree, (bundle, blocks) in zip(forest.value, plan.value[1], strict=True):
                 leaf = tree.leaf(x)
-                spread = (ids * np.int64(-7046029254386353131) >> np.int64(33)) % blocks[leaf]
-                yield pa.RecordBatch.from_arrays([pa.array(bundle[leaf]), pa.array(spread), pa.array(leaf), batch.column(0), batch.column(1)], names=["bundle", "block", "leaf", "vec_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(bundle[leaf]), pa.array(turn % blocks[leaf]), pa.array(leaf), batch.column(0), batch.column(1)], names=["bundle", "block", "leaf", "vec_id", "vector"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +203,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
             for i, q in enumerate(x):
                 taken: dict[int, list[int]] = {}
                 blocks_of: dict[int, int] = {}
-                for n, leaf in search(forest.value, plan.value[0], q, enough):
+                for n, leaf in search(forest.value, plan.value[0], plan.value[2], q, enough):
                     bundle, blocks = plan.value[1][n]
                     taken.setdefault(int(bundle[leaf]), []).append(leaf)
                     blocks_of[int(bundle[leaf])] = int(blocks[leaf])
@@ -217,8 +228,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     indexed = rows.mapInArrow(index, "bundle long, block long, leaf long, vec_id long, vector array<double>")
+    indexed = indexed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     routed = asked.mapInArrow(route, "bundle long, block long, leaves array<long>, query_id long, vector array<double>")
-    won = indexed.groupBy("bundle", "block").cogroup(routed.groupBy("bundle", "block")).applyInPandas(best, "query_id long, vec_id long, score double")
+    routed = routed.withColumn("part", F.pmod(F.xxhash64("query_id", "vector"), F.lit(parts)).cast("int"))
+    keys = ["bundle", "block", "part"]
+    won = indexed.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     merged = won.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

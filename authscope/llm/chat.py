@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from authscope.llm.common import numbered, position
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
 TURNS = "array<struct<role:string,text:string>>"
@@ -77,11 +79,18 @@ def fingerprint(kind: T.DataType) -> str:
 BY_FINGERPRINT = {hashed(m.paths): m for m in MAPPINGS}
 
 
+#: Mappings from the one with most paths to the one with fewest: of those that fit, the first counts.
+BY_SIZE = sorted(MAPPINGS, key=lambda m: -len(m.paths))
+
+
 def mapping_of(df: DataFrame) -> Mapping:
-    """The mapping of a table's layout; a ValueError names the paths of a layout that no mapping knows."""
-    found = BY_FINGERPRINT.get(fingerprint(df.schema))
+    """The mapping of a table's layout: by the fingerprint of all its known paths; if there are more of them than any mapping
+    has, by the fingerprint of those that a mapping wants, the one with most paths first. A ValueError names the paths
+    of a layout that no mapping knows."""
+    paths = field_paths(df.schema)
+    found = BY_FINGERPRINT.get(hashed(paths)) or next((m for m in BY_SIZE if hashed(set(paths) & set(m.paths)) == hashed(m.paths)), None)
     if found is None:
-        raise ValueError(f"no mapping for a layout of {field_paths(df.schema)}")
+        raise ValueError(f"no mapping for a layout of {paths}")
     return found
 
 
@@ -93,25 +102,31 @@ def _role(role: Column, m: Mapping) -> Column:
 
 
 def _turns(m: Mapping, column) -> Column:
-    """Canonical turns by a mapping; column(name) gives a top-level field."""
+    """Canonical turns by a mapping; column(name) gives a top-level field. What isn't text is cast to it."""
+    plain = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     if m.items:
         items, role, text = m.items
-        made = F.transform(column(items), lambda x: F.struct(_role(x[role], m).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+        made = F.transform(column(items), lambda x: F.struct(_role(x[role].cast("string"), m).alias("role"), plain(x[text]).alias("text")))
         return F.coalesce(made, F.array().cast(TURNS))
-    made = [F.struct(F.lit(role).alias("role"), F.coalesce(column(name), F.lit("")).alias("text")) for role, name in m.fields]
+    made = [F.struct(F.lit(role).alias("role"), plain(column(name)).alias("text")) for role, name in m.fields]
     kept = [F.when(turn["text"] != "", turn) if name in m.optional else turn for turn, (_, name) in zip(made, m.fields, strict=True)]
     return F.filter(F.array(*kept), lambda x: x.isNotNull()).cast(TURNS)
 
 
 def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turns) of a table in any known layout. Turn rows are gathered by key, in order of turn, then role and
-    text on ties; null roles and texts are empty. Repeated rows are turns of their own; a null key is one conversation."""
-    m = mapping_of(df)
+    text on ties; null roles and texts are empty. Repeated rows are turns of their own. A null key says nothing about
+    what belongs together: each such row is a conversation of its own. Other columns are ignored, whatever they are
+    called. Empty table: empty result. One conversation is one row, under the engine's limit of 2 GB a row."""
+    m, rows = mapping_of(df), numbered(df)
+    column = lambda name: F.col(f"c{position(df, name)}")
     if m.items or m.fields:
-        return df.select(key, _turns(m, F.col).alias("turns"))
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = df.groupBy(key).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    return grouped.select(key, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+        return rows.select(column(key), _turns(m, column).alias("turns")).toDF(key, "turns")
+    said = F.struct(column("turn").alias("turn"), F.coalesce(column("role").cast("string"), F.lit("")).alias("role"), F.coalesce(column("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(column(key).alias("key"), said.alias("said"))
+    grouped = rows.filter("key is not null").groupBy("key").agg(F.sort_array(F.collect_list("said")).alias("t"))
+    both = grouped.unionByName(rows.filter("key is null").select("key", F.array("said").alias("t")))
+    return both.select("key", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")).toDF(key, "turns")
 
 
 def _json_schema(m: Mapping) -> str:
@@ -137,16 +152,26 @@ def json_paths(value: Column) -> Column:
 
 
 def canonical_json(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, turns, layout) of JSON records in mixed layouts, each by its own fingerprint; turns and layout are null
-    where no mapping knows it, or the text isn't JSON or null."""
-    prints = df.select(key, value, F.sha2(F.concat_ws("\n", json_paths(F.col(value))), 256).alias("_print"))
-    turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+    """(key, turns, layout) of JSON records in mixed layouts, each by its own fingerprint, as for tables; turns and layout
+    are null where no mapping knows it, or the text isn't JSON or null. Other columns of df are ignored."""
+    rows = numbered(df).select(F.col(f"c{position(df, key)}").alias("key"), F.col(f"c{position(df, value)}").alias("value"))
+    prints = rows.withColumn("paths", json_paths(F.col("value")))
+    digest = lambda paths: F.sha2(F.concat_ws("\n", paths), 256)
+    layout = F.lit(None).cast("string")
+    for m in reversed(BY_SIZE):  # what is said last counts first
+        if m.items or m.fields:
+            wanted = F.array(*[F.lit(x) for x in sorted(m.paths)])
+            layout = F.when(digest(F.array_sort(F.array_intersect("paths", wanted))) == hashed(m.paths), F.lit(m.name)).otherwise(layout)
     for print_, m in BY_FINGERPRINT.items():
         if m.items or m.fields:
-            here = F.from_json(value, _json_schema(m))
-            turns = F.when(F.col("_print") == print_, _turns(m, lambda name, here=here: here[name])).otherwise(turns)
-            layout = F.when(F.col("_print") == print_, F.lit(m.name)).otherwise(layout)
-    return prints.select(key, turns.alias("turns"), layout.alias("layout"))
+            layout = F.when(digest(F.col("paths")) == print_, F.lit(m.name)).otherwise(layout)
+    known = prints.withColumn("layout", layout)
+    turns = F.lit(None).cast(TURNS)
+    for m in MAPPINGS:
+        if m.items or m.fields:
+            here = F.from_json("value", _json_schema(m))
+            turns = F.when(F.col("layout") == m.name, _turns(m, lambda name, here=here: here[name])).otherwise(turns)
+    return known.select("key", turns.alias("turns"), "layout").toDF(key, "turns", "layout")
 
 
 def escape(text: Column) -> Column:

@@ -1,15 +1,18 @@
-"""Shared pieces: table access, shared-folder tables, Arrow batch limits, word rules."""
+"""Shared pieces: table access, shared-folder tables, columns by exact name, bounded Arrow slices, word rules."""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from authscope.session import new_path
+
 #: ASCII white space that ends a word; bytes.split() without arguments uses the same six characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,16 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a default of our own only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints/authscope").rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: one computation, cut lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)
@@ -50,32 +43,63 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 16) -> None:
-    """Arrow batches bounded by rows and by bytes, so that long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def position(df: DataFrame, name: str) -> int:
+    """Place of a column: by its exact name, else by the only one that differs in case alone."""
+    if name in df.columns:
+        return df.columns.index(name)
+    found = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"no column {name} among {df.columns}")
+    return found[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ... by place: no name of the caller's can clash with one of ours, or hold a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
 
+def picked(df: DataFrame, **names: str | Column) -> DataFrame:
+    """The columns asked for under the names given; all others, whatever they are called, go."""
+    made = {n: c for n, c in names.items() if isinstance(c, Column)}
+    rows = df.select("*", *made.values()).toDF(*[f"c{i}" for i in range(len(df.columns))], *made)
+    return rows.select(*[n if n in made else F.col(f"c{position(df, c)}").alias(n) for n, c in names.items()])
 
-def by_bytes(texts: Iterable[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges [i, j) of consecutive texts with about `limit` characters each, one text at least."""
+
+def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about `limit` bytes of column number `text`, one row at least, so that what is
+    unpacked in Python at once is bounded whatever size the batches have."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        for i, j in by_size(lengths.tolist(), limit, rows):
+            yield batch.slice(i, j - i)
+
+
+def by_size(sizes: Iterable[int], limit: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges [i, j) of consecutive items of about `limit` in all, one item at least and `rows` at most."""
     start = held = n = 0
-    for n, text in enumerate(texts, 1):
-        held += len(text or "")
-        if held >= limit:
+    for n, size in enumerate(sizes, 1):
+        held += size
+        if held >= limit or n - start >= rows:
             yield start, n
             start, held = n, 0
     if start < n:
         yield start, n
 
 
-_BOUNDARY = re.compile(f"(?<=[^{UNICODE_SPACE}])(?=[{UNICODE_SPACE}])")
+def by_bytes(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """by_size() of texts by their UTF-8 bytes."""
+    return by_size(pc.binary_length(pa.array(texts, pa.string())).to_pylist(), limit)
+
+
+_BOUNDARY = re.compile(f"(?<=[^{UNICODE_SPACE}])(?=[{UNICODE_SPACE}])|(?<=[A-Za-z])(?=[0-9])")
 
 
 def safe_blocks(text: str, limit: int = 1 << 20) -> Iterator[str]:
-    """Pieces of a text of about `limit` characters, cut only where white space follows a character that isn't any.
+    """Pieces of a text of about `limit` characters, cut only where white space follows a character that isn't any, or an
+    ASCII digit an ASCII letter.
 
-    Public BPE split patterns never let one pre-token run over such a place, so tokens of the pieces
-    are the tokens of the text.
+    Public BPE split patterns never let one pre-token run over such a place, so tokens of the pieces are the tokens of
+    the text. A text that has no such place is one piece: the vocabulary's own pre-token may be as long.
     """
     start = 0
     while len(text) - start > limit:
@@ -95,11 +119,23 @@ def n_words(text) -> F.Column:
 ROW_ID = ("_file", "_row_index")
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is a scan of files with nothing on it that could repeat or join rows."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "RelationV2", "DataSourceV2Relation")
+
+
 def with_row_id(df: DataFrame, tag: str = "rows") -> DataFrame:
-    """df with a row identity that every later scan of the same files repeats; other inputs are written first."""
-    try:
-        found = df.select("*", F.col("_metadata.file_path").alias(ROW_ID[0]), F.col("_metadata.row_index").alias(ROW_ID[1]))
-        found.schema  # noqa: B018  resolves the names
-        return found
-    except AnalysisException:
-        return with_row_id(materialize(df, tag), tag)
+    """numbered(df) and a row identity: file name and place in the file, the same in every later scan of the same files.
+    What isn't a plain scan of files is written first."""
+    if _plain_scan(df):
+        try:
+            found = df.select("*", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+            found = found.toDF(*[f"c{i}" for i in range(len(df.columns))], *ROW_ID)
+            found.schema  # noqa: B018  resolves the names
+            return found
+        except AnalysisException:  # a source without places, or a column of the caller's called _metadata
+            pass
+    return with_row_id(materialize(numbered(df), tag), tag)

@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from authscope.llm.common import by_bytes, small_batches
+from authscope.llm.common import picked, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BITS, _BLOCK, REMEMBERED = 15, 32, 400_000
@@ -30,11 +31,16 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Training:
-    """rows_per_language: expected rows of the bounded training sample for each label, drawn by hash;
-    words_per_row: words of each that are learned from; lexicon: frequent words per language that get a weight."""
+    """rows_per_language: rows of the training sample for each label at most, drawn by hash of the row; languages: labels
+    that are learned at most, the most frequent ones; chars_per_row: characters of a stretch that reaches the driver of
+    each row; words_per_row: words of it that are learned from; lexicon: frequent words per language that get a weight;
+    sequences: spliced sequences at most that the chain is fitted on."""
 
     rows_per_language: int = 300
+    languages: int = 256
+    chars_per_row: int = 4000
     words_per_row: int = 400
+    sequences: int = 4000
     lexicon: int = 2000
     sequence: int = 48
     epochs: int = 4
@@ -204,7 +210,7 @@ def fit(rows: list[tuple[str, str]], p: Training = Training()) -> Model:
     usable = [k for k, ws in enumerate(own) if ws]
     if len(labels) < 2 or not usable:
         return Model(labels, weights, transitions, lexicon)
-    n = min(4000, max(200, sum(map(len, own)) // p.sequence))
+    n = min(p.sequences, max(200, sum(map(len, own)) // p.sequence))
     sequences, truth = [], []
     for s in range(n):
         seq, lab = [], []
@@ -271,35 +277,40 @@ def _gradient(scores: np.ndarray, transitions: np.ndarray, truth: np.ndarray) ->
     return hot - post.transpose(1, 0, 2), gt
 
 
-def training_rows(docs: DataFrame, text: str, lang: str, key: str, p: Training) -> list[tuple[str, str]]:
-    """The bounded sample: by hash of key, rows_per_language expected rows for each language."""
-    known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
-    if not counts:
-        return []
-    drawn = F.lit(0)
-    for name, n in counts.items():
-        drawn = F.when(F.col(lang) == name, min(10**9, int(1e9 * p.rows_per_language / n))).otherwise(drawn)
-    place = F.pmod(F.xxhash64(F.lit(p.seed), F.col(key).cast("string")), F.lit(10**9))
-    return [(r[0], r[1]) for r in known.filter(place < drawn).select(text, lang).collect()]
+def training_rows(train: DataFrame, text: str, lang: str, key: str, p: Training) -> list[tuple[str, str]]:
+    """The bounded sample of (text, language): for each label, the rows_per_language rows with the smallest hash.
+
+    The hash is of key and whole text, so that rows that share a key are drawn apart; rows equal in both stand for
+    each other. Each row is a stretch of chars_per_row characters, cut where it lies.
+    """
+    rows = picked(train, key=key, text=text, lang=lang).filter("text is not null and lang is not null")
+    known = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages))
+    place = F.xxhash64(F.lit(p.seed), F.col("key").cast("string"), "text")
+    start = F.pmod(F.col("place"), F.greatest(F.length("text") - p.chars_per_row + 1, F.lit(1))) + 1
+    # the smallest hashes are surely among four times as many as are wanted; equal rows meet before any is moved
+    some = rows.withColumn("place", place).join(known, "lang").filter(F.pmod("place", F.lit(10**9)) * F.col("count") < 4 * p.rows_per_language * 10**9)
+    cut = some.select("lang", "place", F.substring("text", start.cast("int"), F.lit(p.chars_per_row)).alias("text")).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(10**9)), "place"))
+    drawn = cut.withColumn("n", first).filter(F.col("n") <= p.rows_per_language)
+    return [(r["text"], r["lang"]) for r in drawn.select("text", "lang").collect()]
 
 
 def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", p: Training = Training()) -> DataFrame:
     """key, lang_pred and score for every row of docs; learned from text and non-null lang of train only.
 
     Null text, or text without a letter: `und` with score 0; so is everything if train has no label. Rows stay as
-    they are, repeated ones too. Empty table: empty result. Texts are labelled whole; other columns are ignored.
+    they are, repeated ones too. Empty table: empty result. Texts are labelled whole; other columns are ignored,
+    whatever they are called.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(training_rows(train, text, lang, key, p), p))
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double"
+    rows = picked(docs, doc_key=key, body=text)
+    schema = T.StructType([rows.schema["doc_key"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = batch.column(1).to_pylist(), []
-            for i, j in by_bytes(texts, 1 << 21):
-                found += model.value.identify(texts[i:j]) if model.value.labels else [("und", 0.0)] * (j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[key, "lang_pred", "score"])
-
-    small_batches(spark)
-    return docs.select(key, text).mapInArrow(run, schema)
+        for batch in slices(batches, 1):
+            texts = batch.column(1).to_pylist()
+            found = model.value.identify(texts) if model.value.labels else [("und", 0.0)] * len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema).toDF(key, "lang_pred", "score")

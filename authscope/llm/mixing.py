@@ -5,7 +5,8 @@ schedule over training time, linear between knots. Its integral, scaled to the s
 source's cumulative demand; inverting it at a document's place in the source's stream gives the time at which
 training meets the document, and documents are range-sorted by that time. Places are prefix sums in hash
 order, taken in two levels: over hash buckets of bounded size, then inside each, so that a source with a third
-of all rows is spread over as many tasks as it has buckets.
+of all rows is spread over as many tasks as it has buckets. Equal rows share a hash; a bucket that they fill is
+split once more by row identity. Sources are a table like any other: none is listed on the driver.
 """
 
 from __future__ import annotations
@@ -13,32 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.llm.common import ROW_ID, materialize, n_words, with_row_id
+from authscope.llm.common import ROW_ID, materialize, n_words, position, with_row_id
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Training time, and for each place in WEIGHTS the schedule there: steady, rising, falling.
 KNOTS = (0.0, 0.5, 1.0)
 SCHEDULES = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
-#: Rows of a bucket that is ordered in one task; sources that are broadcast; broadcast buckets of all sources.
-BUCKET_ROWS, BROADCAST_SOURCES, BROADCAST_BUCKETS = 4096, 50_000, 100_000
-
-
-def fill(sizes: list[int], weights: list[float], share: float = 1.5, ceiling: float = 2.0) -> list[float]:
-    """Targets: share of the sum of sizes by weight; what exceeds ceiling times a size goes to the others by weight."""
-    demand, targets, open_ = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
-    left = demand
-    while open_:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total >= ceiling * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / total
-            break
-        for i in full:
-            targets[i] = float(ceiling * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
+#: Rows of a bucket that is ordered in one task (expected; twice as many at most), and rows of a table that is broadcast.
+BUCKET_ROWS, BROADCAST_ROWS = 4096, 50_000
+
+
+def fill(sources: DataFrame, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+    """sources (source_size, weight) with `target`: share of the sum of sizes by weight; what exceeds ceiling times a
+    size goes to the others by weight, until none is above.
+
+    Sources reach their ceiling in the order of ceiling * size / weight. Those up to the last one whose ratio is not
+    above the level that is left for the rest are full; the others get weight times that level.
+    """
+    every, order = Window.partitionBy(), Window.orderBy("_ratio", "source_index")  # a row for each source
+    most = F.lit(float(ceiling)) * F.col("source_size")
+    out = sources.withColumn("_ratio", most / F.col("weight")).withColumns({
+        "_demand": share * F.sum("source_size").over(every), "_rank": F.row_number().over(order),
+        "_full": F.sum(most).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_open": F.sum("weight").over(order.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    level = F.try_divide(F.col("_demand") - F.col("_full") + most, F.coalesce("_open", F.lit(0.0)) + F.col("weight"))  # if this one and those behind it were open
+    first_open = F.min(F.when(level < F.col("_ratio"), F.col("_rank"))).over(every)
+    out = out.withColumns({"_level": level, "_first": first_open})
+    shared = F.max(F.when(F.col("_rank") == F.col("_first"), F.col("_level"))).over(every)
+    target = F.when(F.col("_first").isNull() | (F.col("_rank") < F.col("_first")), most).otherwise(F.col("weight") * shared)
+    return out.withColumn("target", target).drop("_ratio", "_demand", "_rank", "_full", "_open", "_level", "_first")
 
 
 def _time(demand: Column) -> Column:
@@ -65,90 +69,92 @@ def _bucket(hashed: Column, buckets: Column) -> Column:
     return F.shiftright(_high(hashed) * buckets, 31)
 
 
-def _sized(rows: DataFrame, key: str, source: str, text: str, row_id: tuple[str, ...], *keep: Column) -> DataFrame:
-    """What decides about a row (its key, source, size, place in hash order, a tie-break for equal rows), after keep."""
-    tie = F.xxhash64(*row_id) if row_id else F.lit(0).cast("long")
-    found = rows.select(*keep, F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size"), tie.alias("_tie"))
-    return found.withColumn("_hash", F.xxhash64("_key", "_size"))
+def _sized(rows: DataFrame, row_id: tuple[str, ...]) -> DataFrame:
+    """What decides about a row of (key, source, body): size, hash of key and text, a tie-break for equal rows."""
+    hashed = F.xxhash64("key", F.coalesce("body", F.lit("")))
+    return rows.select("key", "source", n_words(F.col("body")).alias("size"), hashed.alias("hash"), F.xxhash64(*row_id).alias("tie"), *row_id)
 
 
-def _sources(spark, sized: DataFrame, share: float, ceiling: float) -> tuple[DataFrame, int]:
-    """One row per source with its target, schedule and number of buckets; and the number of sources."""
-    totals = sorted(((r[0], r[1], r[2]) for r in sized.groupBy("_source").agg(F.sum("_size"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    targets = fill([r[1] for r in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))], share, ceiling)
-    rows = [
-        (i, name, size, target, -(-n // BUCKET_ROWS), *SCHEDULES[i % len(WEIGHTS)])
-        for i, ((name, size, n), target) in enumerate(zip(totals, targets, strict=True))
-    ]
-    names = ", ".join(f"w{k} double" for k in range(len(KNOTS)))
-    table = spark.createDataFrame(rows, f"source_index long, _name string, source_size long, target double, _buckets long, {names}")
-    # of the stream that repeats the source, target words are taken: whole rounds, then a part of one more
-    rounds = F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    table = table.withColumn("_rounds", rounds).withColumn("_extra", F.round("target").cast("long") - F.col("_rounds") * F.col("source_size"))
-    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table, len(rows)
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _before(named: DataFrame, buckets: Column) -> DataFrame:
-    """(source_index, _bucket, _sum, _before): words of each bucket, and of the source's buckets before it."""
-    sums = named.groupBy("source_index", _bucket(F.col("_hash"), buckets).alias("_bucket")).agg(F.sum("_size").alias("_sum"))
-    earlier = Window.partitionBy("source_index").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("source_index", "_bucket", "_sum", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-
-
-def _placed(named: DataFrame) -> DataFrame:
-    """named with `place`: the words of the source that come before the row."""
-    named = named.withColumn("_bucket", _bucket(F.col("_hash"), F.col("_buckets")))
-    inside = Window.partitionBy("source_index", "_bucket").orderBy(_high(F.col("_hash")), "_hash", "_key", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    sums = _before(named, F.col("_buckets")).drop("_sum")
-    return named.join(sums, ["source_index", "_bucket"]).withColumn("place", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+def _sources(sized: DataFrame, share: float, ceiling: float, schedules: dict[str, tuple[float, ...]] | None) -> DataFrame:
+    """One row per source with its target, schedule and number of buckets."""
+    spark = sized.sparkSession
+    totals = sized.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    index = (F.row_number().over(Window.orderBy(F.col("name").asc_nulls_last())) - 1).cast("long")  # strings order by code point
+    turn = F.pmod(F.col("source_index"), F.lit(len(WEIGHTS))).cast("int")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), turn)
+    table = totals.withColumn("source_index", index).withColumn("weight", pick(WEIGHTS))
+    knots = [f"w{k}" for k in range(len(KNOTS))]
+    usual = {w: pick([s[k] for s in SCHEDULES]) for k, w in enumerate(knots)}
+    own = spark.createDataFrame([(n, *map(float, s)) for n, s in (schedules or {}).items()], f"_own string, {', '.join(f'_{w} double' for w in knots)}")
+    table = fill(table, share, ceiling).join(F.broadcast(own), F.col("name").cast("string") == F.col("_own"), "left")  # a caller's few
+    table = table.withColumns({w: F.coalesce(F.col(f"_{w}"), c) for w, c in usual.items()}).drop("_own", *[f"_{w}" for w in knots])
+    # of the stream that repeats the source, target words are taken: whole rounds, then a part of one more
+    rounds = F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+    table = table.withColumn("rounds", rounds).withColumn("extra", F.round("target").cast("long") - F.col("rounds") * F.col("source_size"))
+    return materialize(table.withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS).cast("long")).drop("rows", "weight"), "sources")
+
+
+def _placed(sized: DataFrame, share: float, ceiling: float, schedules: dict[str, tuple[float, ...]] | None) -> DataFrame:
+    """sized with its source's row and `place`: the words of the source that come before the row."""
+    named = sized.join(_small(_sources(sized, share, ceiling, schedules)), F.col("source").eqNullSafe(F.col("name")))
+    named = named.withColumn("bucket", _bucket(F.col("hash"), F.col("buckets")))
+    # a bucket that equal rows fill has several parts; all other buckets have one
+    crowded = named.groupBy("source_index", "bucket").agg(F.ceil(F.count("*") / (2 * BUCKET_ROWS)).cast("long").alias("parts")).filter("parts > 1")
+    crowded = _small(materialize(crowded, "crowded"))
+    named = named.join(crowded, ["source_index", "bucket"], "left").withColumn("part", F.coalesce(F.pmod("tie", "parts"), F.lit(0)))
+    sums = named.groupBy("source_index", "bucket", "part").agg(F.sum("size").alias("_sum"))
+    earlier = Window.partitionBy("source_index").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sums = materialize(sums.select("source_index", "bucket", "part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("before")), "before")
+    inside = Window.partitionBy("source_index", "bucket", "part").orderBy("hash", "key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    return named.join(_small(sums), ["source_index", "bucket", "part"]).withColumn("place", place)
 
 
 def _demand(place: Column) -> Column:
     return F.least(F.coalesce(F.try_divide(place, F.col("target")), F.lit(0.0)), F.lit(1.0))
 
 
-def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, ceiling: float = 2.0, schedules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """Per row of docs: key, size, source_size, target, copies, taken, position.
 
     taken: words that the mix takes; a source's last copy ends inside a document, where its target is met.
     position: training time of the first copy (null if none); a later copy is met when the stream comes round.
+    schedules: weights at KNOTS of sources that don't follow the usual ones, by name.
     Null text: size 0. Null source: one source, ordered last. Null or repeated keys: rows of their own; equal rows
-    may change places with each other. Empty table: empty result.
+    may change places with each other. Empty table: empty result. Other columns are ignored, whatever they are called.
     """
-    sized = materialize(_sized(docs.select(key, source, text), key, source, text, ()), "sizes")
-    table, _ = _sources(docs.sparkSession, sized, share, ceiling)
-    placed = _placed(sized.join(table, F.col("_source").eqNullSafe(F.col("_name"))))
-    part = F.greatest(F.least(F.col("_extra") - F.col("place"), F.col("_size")), F.lit(0))
-    copies = F.col("_rounds").cast("int") + F.when(part > 0, 1).otherwise(0)
+    rows = with_row_id(docs, "mix")
+    c = lambda name: F.col(f"c{position(docs, name)}")
+    sized = materialize(_sized(rows.select(c(key).alias("key"), c(source).alias("source"), c(text).alias("body"), *ROW_ID), ROW_ID).drop(*ROW_ID), "sizes")
+    placed = _placed(sized, share, ceiling, schedules)
+    part = F.greatest(F.least(F.col("extra") - F.col("place"), F.col("size")), F.lit(0))
+    copies = F.col("rounds").cast("int") + F.when(part > 0, 1).otherwise(0)
     return placed.select(
-        F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"),
-        (F.col("_rounds") * F.col("_size") + part).cast("long").alias("taken"), F.when(copies > 0, _time(_demand(F.col("place")))).alias("position"),
-    )
+        "key", "size", "source_size", "target", copies.alias("copies"), (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"),
+        F.when(copies > 0, _time(_demand(F.col("place")))).alias("position"),
+    ).toDF(key, "size", "source_size", "target", "copies", "taken", "position")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, ceiling: float = 2.0, schedules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """The training stream: docs' columns, each document as often as the mix takes it, range-sorted by training time.
 
-    Documents are never cut: a source's last copy is whole if more than half of it is wanted. Texts are shuffled
-    once, by the sort: rows meet their source's last row in hash order and their bucket's prefix sum by broadcast,
-    both of bounded size; inside a bucket, places follow the hash. Edge rows are treated as in plan().
+    Places and times are those of plan(), met again by row identity. Documents are never cut: a source's last copy is
+    whole if more than half of it is wanted. Edge rows are treated as in plan().
     """
     rows = with_row_id(docs, "mix")
-    whole = _sized(rows, key, source, text, ROW_ID, F.struct(*docs.columns).alias("_row"))
-    sized = materialize(_sized(rows.select(key, source, text, *ROW_ID), key, source, text, ROW_ID), "sizes")
-    table, n = _sources(docs.sparkSession, sized, share, ceiling)
-    order = F.struct(_high(F.col("_hash")), "_hash", "_key", "_size", "_tie")
-    named = sized.join(table, F.col("_source").eqNullSafe(F.col("_name")))
-    wanted = F.col("_size") > 2 * (F.col("place") + F.col("_size") - F.col("_extra"))
-    last = _placed(named).filter(wanted).groupBy("source_index").agg(F.max(order).alias("_last"))
-    coarse = F.least(F.col("_buckets"), F.lit(max(1, BROADCAST_BUCKETS // max(1, n))))
-    sums = _before(named, coarse)
-    if n <= BROADCAST_SOURCES:
-        last, sums = F.broadcast(last), F.broadcast(sums)
-    found = whole.join(table, F.col("_source").eqNullSafe(F.col("_name"))).join(last, "source_index", "left")
-    found = found.withColumn("_bucket", _bucket(F.col("_hash"), coarse)).join(sums, ["source_index", "_bucket"])
-    copies = F.col("_rounds").cast("int") + F.when(order <= F.col("_last"), 1).otherwise(0)
-    inside = _high(F.col("_hash")) * coarse / F.lit(float(1 << 31)) - F.col("_bucket")
-    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).filter(copies > 0)
-    place = F.col("_before") + inside * F.col("_sum") + (F.col("_copy") - 1) * F.col("source_size")
-    return found.withColumn("_position", _time(_demand(place))).select("_row", "_position", "_hash", "_tie").orderBy("_position", "_hash", "_tie").select("_row.*")
+    c = lambda name: F.col(f"c{position(docs, name)}")
+    sized = materialize(_sized(rows.select(c(key).alias("key"), c(source).alias("source"), c(text).alias("body"), *ROW_ID), ROW_ID), "sizes")
+    placed = _placed(sized, share, ceiling, schedules)
+    wanted = F.col("size") > 2 * (F.col("place") + F.col("size") - F.col("extra"))
+    copies = F.col("rounds").cast("int") + F.when(wanted, 1).otherwise(0)
+    turns = placed.withColumn("copies", copies).filter("copies > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    time = _time(_demand(F.col("place") + (F.col("turn") - 1) * F.col("source_size")))
+    times = turns.select(*ROW_ID, F.struct(time.alias("time"), "hash", "turn", "tie").alias("at")).groupBy(*ROW_ID).agg(F.collect_list("at").alias("times"))
+    own = [x for x in rows.columns if x not in ROW_ID]
+    found = rows.join(times, list(ROW_ID)).select(*own, F.explode("times").alias("at"))
+    return found.orderBy("at.time", "at.hash", "at.turn", "at.tie").select(*own).toDF(*docs.columns)

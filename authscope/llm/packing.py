@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from authscope.llm.common import by_bytes, materialize, small_batches
+from authscope.llm.common import materialize, picked, slices
 from authscope.llm.tokens import packer
 
 CAPACITY, BLOCK, END, GROUP = 2048, 512, 1, 1024
@@ -71,36 +72,39 @@ def cuts(n: int, capacity: int = CAPACITY, block: int = BLOCK) -> Iterator[tuple
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens and, if asked for, ids (little-endian binary)."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    """One row per piece: doc_key, start, length, ids_crc32, doc_tokens and, if asked for, ids (little-endian binary).
+
+    Null and empty texts are one piece with the end id. Rows that repeat a key, or have none, are documents of their
+    own. Long texts are encoded block by block; the ids of one document are in memory at once, 4 bytes each. Columns
+    other than key and text are ignored, whatever they are called.
+    """
+    rows = picked(docs, body=text, doc_key=key)
+    names = ["doc_key", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    kinds = [rows.schema["doc_key"].dataType, *[T.LongType()] * 4, *[T.BinaryType()] * with_ids]
     end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = packer(path)
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in by_bytes(texts, 1 << 21):
-                rows, which = [], []
-                for k, ids in enumerate(pack(texts[i:j]), i):
-                    data = memoryview(ids + end)
-                    total = len(data) // 4
-                    for start, n in cuts(total, capacity, block):
-                        part = data[4 * start : 4 * (start + n)]
-                        rows.append((start, n, zlib.crc32(part), total, *[bytes(part)] * with_ids))
-                        which.append(k)
-                arrays = [pa.array(x, pa.int64() if c < 4 else pa.binary()) for c, x in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(which, pa.int64())), *arrays], names=names)
-
-    small_batches(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(run, schema)
+        for batch in slices(batches, 0):
+            out, which = [], []
+            for k, ids in enumerate(pack(batch.column(0).to_pylist())):
+                data = memoryview(ids + end)
+                total = len(data) // 4
+                for start, n in cuts(total, capacity, block):
+                    part = data[4 * start : 4 * (start + n)]
+                    out.append((start, n, zlib.crc32(part), total, *[bytes(part)] * with_ids))
+                    which.append(k)
+            arrays = [pa.array(x, pa.int64() if c < 4 else pa.binary()) for c, x in enumerate(zip(*out, strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(which, pa.int64())), *arrays], names=names)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, block: int = BLOCK, group: int = GROUP, with_ids: bool = False) -> DataFrame:
-    """pieces() with sequence_id and offset: each sequence holds `capacity` ids at most, gapless from 0.
+    """pieces(), under the key's own name, with sequence_id and offset: each sequence holds `capacity` ids at most, gapless from 0.
 
-    Null and empty texts are one piece that holds the end id alone. Rows that repeat a key, or have none, are
-    documents of their own. Empty table: empty result. Other columns of docs are ignored.
+    Sequences hold pieces of one group only; groups have about `group` pieces, however many rows share a key. Edge rows
+    are treated as in pieces(). Empty table: empty result.
     """
     cut = materialize(pieces(docs, path, key, text, capacity, block, with_ids).withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     columns = [c for c in cut.columns if c != "_piece"]
@@ -122,4 +126,4 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
 
     shared = dealt.groupBy("_group").applyInPandas(place, schema)
     whole = cut.filter(F.col("length") >= capacity).select(*columns, (2 * F.col("_piece") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return shared.unionByName(whole)
+    return shared.unionByName(whole).toDF(key, *columns[1:], "sequence_id", "offset")

@@ -1,28 +1,33 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a document whose measure exceeds a cutoff. Labelled documents are the holdout: for every
-stratum, rule and cutoff of a fixed grid, the hypothesis "more than risk / rules of the good documents are
-rejected" is tested with the exact binomial tail, at level delta divided by the number of all hypotheses
-(Bonferroni). Only cutoffs whose hypothesis is refuted may be chosen, so that with probability 1 - delta no
-stratum loses more than `risk` of its good documents over all rules together, whichever of them is picked.
-Of those, the one that rejects most bad documents at the least cost in good ones is taken, the most lenient
-on ties; a rule for which none is certified, or none helps, stays silent in that stratum.
+Each rule rejects a document whose measure exceeds a cutoff. Labelled documents are the holdout, halved by a hash
+of their key. One half of a stratum proposes a path of ever stricter sets of cutoffs: from none at all, each step tightens
+the rule that rejects most bad documents for its cost in good ones. The other half certifies: along the path the
+hypothesis "more than `risk` of the good documents are rejected by any of the rules" is tested with the exact binomial
+tail, and the first one that isn't refuted ends the walk. Tests in a fixed order need no correction among
+themselves; over strata delta is divided (Bonferroni). So with probability 1 - delta no stratum loses more than
+`risk` of its good documents, whichever certified set is picked. Of those, the one that rejects most bad documents at
+the least cost in good ones is taken, the most lenient on ties; a stratum in which none is certified, or none helps,
+has only the base rule.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import SPACES, materialize, small_batches
+from authscope.llm.common import SPACES, materialize, numbered, picked, position, slices
 
+BROADCAST_STRATA = 50_000
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -80,23 +85,18 @@ def measures(text: str | None) -> tuple[int, ...]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words), lines
 
 
-def measure(docs: DataFrame, text: str = "text", inside: str | None = None) -> DataFrame:
-    """The other columns of docs with MEASURES (long) of every whole text.
-
-    inside: a struct column that holds the text as a field; it is kept whole, so that no text crosses to Python twice.
-    """
-    keep = [c for c in docs.columns if c != text or inside]
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of docs with MEASURES (long) of every whole text, in place of columns of those names."""
+    keep = [c for c in docs.columns if c not in MEASURES]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.LongType(), False) for c in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(inside).field(text) if inside else batch.column(text)
-            found = [measures(x.as_py()) for x in texts]
+        for batch in slices(batches, keep.index(text)):
+            found = [measures(x.as_py()) for x in batch.column(keep.index(text))]
             cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(run, schema)
 
 
 def base_failed(p: Risk) -> F.Column:
@@ -126,69 +126,108 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(log) * total)
 
 
-def holdout_counts(measured: DataFrame, labels: DataFrame, key: str, stratum: str, p: Risk) -> DataFrame:
-    """(stratum, rule, passed, good, n): labelled documents that the base keeps, by how many cutoffs they exceed.
+LEVELS = tuple(f"passed_{rule}" for rule in RULES)
+
 
-    A document with several labels is bad if one says so; labels without key or verdict are ignored.
+def holdout_counts(measured: DataFrame, labels: DataFrame, p: Risk) -> DataFrame:
+    """(stratum, proposes, good, a level for each rule, n): labelled documents that the base keeps, by how many cutoffs
+    of each rule they exceed. Rows are bounded by the grid of cutoffs, not by the labels.
+
+    measured has doc_key and stratum; labels has doc_key and quality. A document with several labels is bad if one says
+    so; labels without key or verdict are ignored.
     """
-    truth = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("_good"))
-    held = measured.filter(~base_failed(p)).join(truth, F.col(key) == F.col("_key"))
-    exceeded = [
-        F.struct(F.lit(rule).alias("rule"), sum(F.when(F.expr(sql) > c, 1).otherwise(0) for c in cuts).alias("passed"))
-        for rule, (sql, cuts) in RULES.items()
-    ]
-    return (
-        held.select(F.col(stratum).alias("stratum"), (F.col("_good") == 1).alias("good"), F.explode(F.array(*exceeded)).alias("x"))
-        .groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.passed").alias("passed"), "good")
-        .agg(F.count("*").alias("n"))
-    )
-
-
-def choose(rows: list, p: Risk) -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) -> certified cutoff, from the rows of holdout_counts()."""
-    counts: dict = defaultdict(lambda: defaultdict(int))
-    strata = {r["stratum"] for r in rows}
-    for r in rows:
-        counts[r["stratum"], r["rule"]][r["good"], r["passed"]] += r["n"]
-    tests = max(1, len(strata)) * sum(len(cuts) for _, cuts in RULES.values())
-    chosen = {}
-    for (stratum, rule), cells in counts.items():
-        n_good, best = sum(n for (good, _), n in cells.items() if good), 0.0
-        for i, cut in reversed(list(enumerate(RULES[rule][1]))):  # lenient first
-            bad, good = (sum(n for (g, passed), n in cells.items() if g == side and passed > i) for side in (False, True))
-            if binomial_tail(good, n_good, p.risk / len(RULES)) > p.delta / tests:
-                break  # stricter cutoffs reject as many good ones or more
-            if bad - p.price * good > best:
-                best, chosen[stratum, rule] = bad - p.price * good, cut
+    truth = labels.filter("doc_key is not null and quality is not null").groupBy("doc_key").agg(F.min("quality").alias("good"))
+    held = measured.filter(~base_failed(p)).join(truth, "doc_key")
+    levels = [sum(F.when(F.expr(sql) > c, 1).otherwise(0) for c in cuts).alias(name) for (sql, cuts), name in zip(RULES.values(), LEVELS, strict=True)]
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_key").cast("string")), F.lit(2)) == 0
+    return held.select("stratum", half.alias("proposes"), (F.col("good") == 1).alias("good"), *levels).groupBy("stratum", "proposes", "good", *LEVELS).agg(F.count("*").alias("n"))
+
+
+def propose(levels: np.ndarray, good: np.ndarray, n: np.ndarray, price: float) -> list[tuple[int, ...]]:
+    """Path of sets of cutoffs, one number for each rule: documents that exceed at least so many cutoffs are rejected.
+    Every step tightens one rule by as many cutoffs as pays best; it ends where no tightening rejects anything more."""
+    sizes = [len(cuts) for _, cuts in RULES.values()]
+    state, path, left = [size + 1 for size in sizes], [], np.ones(len(n), bool)
+    while True:
+        best = None
+        for r in range(len(sizes)):
+            for to in range(state[r] - 1, 0, -1):
+                hit = left & (levels[:, r] >= to)
+                bad, cost = int(n[hit & ~good].sum()), int(n[hit & good].sum())
+                if bad + cost and (best is None or (bad + 1) / (price * cost + 1) > best[0]):
+                    best = ((bad + 1) / (price * cost + 1), r, to)
+        if best is None:
+            return path
+        _, r, to = best
+        state[r] = to
+        left &= levels[:, r] < to
+        path.append(tuple(state))
+
+
+def choose(cells: pd.DataFrame, strata: int, p: Risk) -> tuple[int, ...] | None:
+    """The certified set of cutoffs of one stratum, from its rows of holdout_counts(); None if there is none."""
+    levels, good, n, first = cells[list(LEVELS)].to_numpy(), cells["good"].to_numpy(bool), cells["n"].to_numpy(), cells["proposes"].to_numpy(bool)
+    total, best, chosen = int(n[~first & good].sum()), 0.0, None
+    for state in propose(levels[first], good[first], n[first], p.price):
+        hit = (levels >= np.array(state)).any(axis=1)
+        if binomial_tail(int(n[hit & ~first & good].sum()), total, p.risk) > p.delta / max(1, strata):
+            break
+        worth = int(n[hit & ~good].sum()) - p.price * int(n[hit & good].sum())
+        if worth > best:
+            best, chosen = worth, state
     return chosen
 
 
-def rejected(chosen: dict[tuple[str | None, str], float], stratum: str) -> F.Column:
-    out = F.lit(False)
-    for (value, rule), cut in sorted(chosen.items(), key=str):
-        out = out | (F.col(stratum).eqNullSafe(F.lit(value)) & (F.expr(RULES[rule][0]) > cut))
-    return out
+def cutoffs(measured: DataFrame, labels: DataFrame, p: Risk) -> DataFrame:
+    """(stratum, known, a cutoff for each rule): a row for each stratum with a certified set; a rule that stays silent has
+    null. Strata are chosen for one by one in tasks, and come back as a written table."""
+    counts = materialize(holdout_counts(measured, labels, p), "holdout")
+    strata = counts.select("stratum").distinct().count()
+    kind = counts.schema["stratum"].dataType.simpleString()
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        state = choose(cells, strata, p)
+        cuts = {rule: [values[at - 1] if at <= len(values) else None] for (rule, (_, values)), at in zip(RULES.items(), state or (), strict=False)}
+        made = pd.DataFrame({"stratum": [cells["stratum"].iloc[0]], "known": [True], **{r: pd.Series(v, dtype="float64") for r, v in cuts.items()}})
+        return made if state else made.iloc[:0].reindex(columns=["stratum", "known", *RULES])
+
+    return materialize(counts.groupBy("stratum").applyInPandas(run, f"stratum {kind}, known boolean, {', '.join(f'{r} double' for r in RULES)}"), "cutoffs")
+
+
+def judged(measured: DataFrame, labels: DataFrame, p: Risk) -> DataFrame:
+    """measured (with doc_key and stratum) with base_failed and kept. Cutoffs meet their rows by a join on stratum,
+    broadcast if there are at most BROADCAST_STRATA of them."""
+    table = cutoffs(measured, labels, p).withColumnsRenamed({"stratum": "_stratum", **{r: f"_{r}" for r in RULES}}).drop("known")
+    small = table.count() <= BROADCAST_STRATA
+    rows = measured.join(F.broadcast(table) if small else table, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    over = [F.coalesce(F.expr(sql) > F.col(f"_{rule}"), F.lit(False)) for rule, (sql, _) in RULES.items()]
+    failed = base_failed(p)
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & ~reduce(lambda a, b: a | b, over)}).drop("_stratum", *[f"_{r}" for r in RULES])
+
+
+def _label_rows(labels: DataFrame, key: str) -> DataFrame:
+    return picked(labels, doc_key=key, quality="quality")
 
 
 def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text", p: Risk = Risk()) -> DataFrame:
     """key, stratum, MEASURES, base_failed, kept for every row of docs; texts are read once.
 
-    The driver gets counts by stratum, rule and cutoff only. Strata are values of `stratum` (null is one); a
-    stratum without labels has no certified cutoff, so only the base rule holds there. Null and empty texts have
-    no word and fail the base. Repeated rows each get their verdict. Empty tables: empty result.
+    Strata are values of `stratum` (null is one); a stratum without labels has no certified cutoff, so only the base
+    rule holds there. Null and empty texts have no word and fail the base. Repeated rows each get their verdict. Empty
+    tables: empty result. Columns other than key, stratum and text are ignored, whatever they are called.
     """
-    measured = materialize(measure(docs.select(key, stratum, text), text), "quality")
-    chosen = choose(holdout_counts(measured, labels, key, stratum, p).collect(), p)
-    failed = base_failed(p)
-    return measured.withColumns({"base_failed": failed, "kept": ~failed & ~rejected(chosen, stratum)})
+    measured = materialize(measure(picked(docs, doc_key=key, stratum=stratum, body=text), "body").drop("body"), "quality")
+    found = judged(measured, _label_rows(labels, key), p)
+    return found.select("doc_key", "stratum", *MEASURES, "base_failed", "kept").toDF(key, stratum, *MEASURES, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text", p: Risk = Risk()) -> DataFrame:
     """The rows of docs that the rules keep, all columns unchanged; no join by key, so repeated keys do no harm.
 
-    Texts are measured once for the holdout and once for the verdicts; none is shuffled. The other cases as for assess().
+    Texts are measured once; rows are written with their measures and read again for the verdict, so that no text is
+    shuffled. The other cases as for assess().
     """
-    measured = materialize(measure(docs.select(key, stratum, text), text), "quality")
-    chosen = choose(holdout_counts(measured, labels, key, stratum, p).collect(), p)
-    rows = measure(docs.select(F.struct(*docs.columns).alias("_row"), F.col(stratum).alias("_stratum")), text, "_row")
-    return rows.filter(~base_failed(p) & ~rejected(chosen, "_stratum")).select("_row.*")
+    own = numbered(docs)
+    named = {n: f"c{position(docs, c)}" for n, c in (("doc_key", key), ("stratum", stratum))}
+    measured = materialize(measure(own, f"c{position(docs, text)}"), "quality").withColumns({n: F.col(c) for n, c in named.items()})
+    return judged(measured, _label_rows(labels, key), p).filter("kept").select(*own.columns).toDF(*docs.columns)

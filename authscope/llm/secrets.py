@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.llm.common import ROW_ID, materialize, with_row_id
+from authscope.llm.common import ROW_ID, materialize, numbered, picked, position, with_row_id
 
 #: kind: (pattern, group of the value, least characters of the value). The value always ends the match.
 PATTERNS: dict[str, tuple[str, int, int]] = {
@@ -22,35 +22,36 @@ PATTERNS: dict[str, tuple[str, int, int]] = {
 }
 #: Kinds in the order that breaks ties of start: the base kinds, then the method's verdicts.
 KINDS = (*PATTERNS, "live", "example")
-PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000|1234567|abcdef"
+#: Words of a placeholder, wherever they stand, and runs that random values may hold by chance.
+WORDS, RUNS = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]", r"(?i)x{4,}|0{4,}|1234567|abcdef"
 
 
 @dataclass(frozen=True)
 class Ownership:
-    """A value is an example with more than this many owners or repositories, or if it doesn't look live:
-    fewer distinct characters, no digit, or a placeholder's words."""
+    """A value is an example with more than this many owners or repositories, or if it doesn't look live: fewer distinct
+    characters, no digit although it isn't the value of an assignment, a placeholder's words, or runs such as xxxx that
+    make up at least half of it."""
 
     max_owners: int = 3
     max_repositories: int = 6
     min_distinct_characters: int = 8
 
 
-def has_candidate(text: Column) -> Column:
-    out = F.lit(False)
-    for pattern, _, _ in PATTERNS.values():
-        out = out | text.rlike(pattern)
-    return F.coalesce(out, F.lit(False))
+def _value(assigned: bool, p: Ownership):
+    """Value -> its length, hash and whether it looks live."""
+
+    def made(v: Column) -> Column:
+        varied = F.size(F.array_distinct(F.split(v, ""))) >= p.min_distinct_characters
+        plain = v.rlike(WORDS) | (2 * F.length(F.regexp_replace(v, RUNS, "")) <= F.length(v))
+        return F.struct(F.length(v).alias("chars"), F.sha2(v, 256).alias("hash"), (varied & (F.lit(assigned) | v.rlike("[0-9]")) & ~plain).alias("looks_live"))
+
+    return made
 
 
 def _hits(text: Column, p: Ownership) -> Column:
     """Array of (kind, gaps, hits): lengths of what stands between matches, and the matches in order."""
     found = []
     for k, (pattern, group, least) in enumerate(PATTERNS.values()):
-        value = lambda v: F.struct(
-            F.length(v).alias("chars"),
-            F.sha2(v, 256).alias("hash"),
-            ((F.size(F.array_distinct(F.split(v, ""))) >= p.min_distinct_characters) & v.rlike("[0-9]") & ~v.rlike(PLACEHOLDER)).alias("looks_live"),
-        )
         found.append(
             F.when(
                 text.rlike(pattern),
@@ -59,18 +60,13 @@ def _hits(text: Column, p: Ownership) -> Column:
                     F.lit(least).alias("least"),
                     F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
                     F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("matches"),
-                    F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), value).alias("values"),
+                    F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), _value(group == 2, p)).alias("values"),
                 ),
             )
         )
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def candidates(docs: DataFrame, keys: list[str], owner: Column, repository: Column, text: str = "text", p: Ownership = Ownership()) -> DataFrame:
-    """docs' keys with `hits` of _hits(), owner and repository; one pass over the texts, which end here."""
-    return docs.select(*keys, owner.alias("owner"), repository.alias("repository"), _hits(F.coalesce(F.col(text), F.lit("")), p).alias("hits"))
-
-
 def located(found: DataFrame, keys: list[str]) -> DataFrame:
     """One row per candidate that is long enough: keys, kind, start, end, value_start, hash, looks_live, owner, repository."""
     flat = found.select(*keys, "owner", "repository", F.explode("hits").alias("h")).select(
@@ -104,25 +100,24 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", owner: Column | None = None, repository: Column | None = None, text: str = "text", p: Ownership = Ownership()) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", owner: str | Column = "source", repository: str | Column = "lang", text: str = "text", p: Ownership = Ownership()) -> DataFrame:
     """Per row of docs: key, found (sorted array of kind, start, end) with base and method spans.
 
-    Offsets are code points, ends exclusive. Null and empty texts have no span. Null or repeated keys: rows of
-    their own. Owners default to `source`, repositories to `source` and `lang`. Empty table: empty result.
+    Offsets are code points, ends exclusive. Null and empty texts have no span. Null or repeated keys: rows of their
+    own. owner and repository are columns, by name or as an expression; by default a document's source owns it and its
+    language there is the repository. Empty table: empty result. Other columns are ignored, whatever they are called.
     """
-    owner = F.col("source") if owner is None else owner
-    repository = F.col("lang") if repository is None else repository
-    rows = candidates(docs.withColumn("_row", F.monotonically_increasing_id()), ["_row", F.col(key).alias("_key")], owner, repository, text, p)
-    rows = materialize(rows, "secrets")
+    rows = picked(docs, _key=key, owner=owner, repository=repository, body=text).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows.select("_row", "_key", "owner", "repository", _hits(F.coalesce(F.col("body"), F.lit("")), p).alias("hits")), "secrets")
     keys = ["_row", "_key"]
     spans = judged(located(rows, keys), p)
     base = F.struct("start", "kind", "end")
     verdict = F.struct(F.col("value_start").alias("start"), F.when(F.col("verdict") == "live", 3).otherwise(4).alias("kind"), "end")
     by_row = spans.select(*keys, F.explode(F.array(base, verdict)).alias("span")).groupBy(*keys).agg(F.sort_array(F.array_distinct(F.collect_list("span"))).alias("found"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    quiet = rows.filter(F.size("hits") == 0).select(F.col("_key").alias(key), none.alias("found"))
+    quiet = rows.filter(F.size("hits") == 0).select("_key", none.alias("found"))
     loud = rows.filter(F.size("hits") > 0).select(*keys).join(by_row.withColumnRenamed("_key", "_k"), "_row", "left")
-    return quiet.unionByName(loud.select(F.col("_key").alias(key), F.coalesce("found", none).alias("found")))
+    return quiet.unionByName(loud.select("_key", F.coalesce("found", none).alias("found"))).toDF(key, "found")
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -133,19 +128,23 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     return scanned.select(key, *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, text: str = "text", mark: str = "[SECRET]", p: Ownership = Ownership()) -> DataFrame:
+def redact(docs: DataFrame, owner: str | Column = "source", repository: str | Column = "lang", text: str = "text", mark: str = "[SECRET]", p: Ownership = Ownership()) -> DataFrame:
     """docs with live values replaced by `mark`; widely copied examples stay. Columns and rows stay as they are.
 
-    Documents without a candidate pass by without a join; the others meet their spans by row identity.
+    Every text is scanned once: rows are written with what was found in them. Those without a candidate come back
+    as they are, the others meet their spans by row identity. Null texts stay null; the other cases as for scan().
     """
-    owner = F.col("source") if owner is None else owner
-    repository = F.col("lang") if repository is None else repository
-    rows = with_row_id(docs, "redact")
-    keys = list(ROW_ID)
-    loud = rows.filter(has_candidate(F.col(text)))
-    found = materialize(candidates(loud, keys, owner, repository, text, p), "secrets")
-    live = judged(located(found, keys), p).filter("verdict = 'live'")
-    cuts = live.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.col("value_start").alias("start"), "end"))).alias("_cuts"))
+    own = numbered(docs)
+    text = f"c{position(docs, text)}"
+    who = {"owner": owner, "repository": repository}
+    made = {n: c for n, c in who.items() if isinstance(c, Column)}
+    own = docs.select("*", *made.values()).toDF(*own.columns, *made).withColumns({n: F.col(f"c{position(docs, c)}") for n, c in who.items() if n not in made})
+    scanned = materialize(own.withColumn("hits", _hits(F.coalesce(F.col(text), F.lit("")), p)), "scanned")
+    rows = with_row_id(scanned).toDF(*scanned.columns, *ROW_ID)
+    keys, back = list(ROW_ID), [f"c{i}" for i in range(len(docs.columns))]
+    loud = rows.filter(F.size("hits") > 0)
+    live = judged(located(loud.select(*keys, "owner", "repository", "hits"), keys), p).filter("verdict = 'live'")
+    cuts = live.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.col("value_start").alias("start"), "end"))).alias("cuts"))
     body = F.col(text)
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
@@ -154,7 +153,6 @@ def redact(docs: DataFrame, owner: Column | None = None, repository: Column | No
             F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).alias("out"),
         )
     )
-    clean = F.aggregate("_cuts", state, step, lambda s: F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), F.length(body))))
-    hit = loud.join(cuts, keys, "left").withColumn(text, F.when(F.col("_cuts").isNull(), body).otherwise(clean))
-    quiet = rows.filter(~has_candidate(F.col(text)))
-    return quiet.select(*docs.columns).unionByName(hit.select(*docs.columns))
+    clean = F.aggregate("cuts", state, step, lambda s: F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), F.length(body))))
+    hit = loud.join(cuts, keys, "left").withColumn(text, F.when(F.col("cuts").isNull(), body).otherwise(clean))
+    return rows.filter(F.size("hits") == 0).select(*back).unionByName(hit.select(*back)).toDF(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import ROW_ID, materialize, release, small_batches, with_row_id
+from authscope.llm.common import ROW_ID, materialize, picked, position, release, slices, with_row_id
 
 SEED = 42
 
@@ -58,19 +58,18 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
-    """Every row's other columns with `fp` (64 bits as a signed long).
+    """Every row's other columns with `fp` (64 bits as a signed long), in place of a column of that name.
 
     Null text has fingerprint 0.
     """
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "fp")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             found = [int(majority(shingle_hashes(x.as_py(), width))[0]) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.int64())], names=[*keep, "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(text, *keep).mapInArrow(run, schema)
 
 
@@ -146,7 +145,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     Null key: the row is fingerprinted and linked; its component is null only if no key in it is known.
     Empty table: empty result. Columns of docs other than key and text are ignored.
     """
-    fps = materialize(fingerprints(docs.select(F.col(key).alias("doc_key"), F.col(text).alias("body")), "body", width), "fp")
+    fps = materialize(fingerprints(picked(docs, doc_key=key, body=text), "body", width), "fp")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_key").alias("least")), "fpclass")
     # nodes are fingerprints; the smallest document of a component is found afterwards
     tree = components(links(classes, bits).select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -154,7 +153,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     root = materialize(root, "fproot")
     lowest = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("doc_key").alias(key), "fp", "component_id")
+    return fps.join(named, "fp").select("doc_key", "fp", "component_id").toDF(key, "fp", "component_id")
 
 
 def _distinct(hashes: list[int]) -> np.ndarray:
@@ -179,11 +178,10 @@ def shingle_sets(rows: DataFrame, text: str, key: str, width: int) -> DataFrame:
     schema = T.StructType([rows.schema[key], T.StructField("shingles", T.ArrayType(T.LongType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             sets = [_distinct(shingle_hashes(x.as_py(), width)).view("<i8") for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"])
 
-    small_batches(rows.sparkSession)
     return rows.select(text, key).mapInArrow(run, schema)
 
 
@@ -207,7 +205,7 @@ def signatures(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
     schema = T.StructType([*[keep.schema[c] for c in names], *more, T.StructField("prefix", T.ArrayType(T.LongType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             fps, ids, sizes, first = [], [], [], []
             for x in batch.column(0):
                 hashes = shingle_hashes(x.as_py(), width)
@@ -219,7 +217,6 @@ def signatures(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
             arrays = [*batch.columns[1:], pa.array(fps, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "fp", "set_id", "n", "prefix"])
 
-    small_batches(rows.sparkSession)
     return keep.select("body", *names).mapInArrow(run, schema)
 
 
@@ -294,9 +291,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bit
     Groups hold texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, in chains.
     Rows are treated as by near_duplicates().
     """
-    found = materialize(_grouped(with_row_id(docs.select(key, text), "dedup"), key, text, bits, width), "groups")
+    found = materialize(_grouped(with_row_id(docs, "dedup"), f"c{position(docs, key)}", f"c{position(docs, text)}", bits, width), "groups")
     lowest = found.groupBy("root").agg(F.min("doc_key").alias("component_id"))
-    return found.join(lowest, "root").select(F.col("doc_key").alias(key), "component_id")
+    return found.join(lowest, "root").select("doc_key", "component_id").toDF(key, "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4, width: int = 5) -> DataFrame:
@@ -306,7 +303,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     several rows share decides nothing about rows of other groups.
     Rows with a null key have no identity to drop by: all of them stay. Empty table: empty result.
     """
-    rows = with_row_id(docs, "dedup")
-    found = _grouped(rows, key, text, bits, width).filter(F.col("doc_key").isNotNull())
+    rows, key = with_row_id(docs, "dedup"), f"c{position(docs, key)}"
+    own = [c for c in rows.columns if c not in ROW_ID]
+    found = _grouped(rows, key, f"c{position(docs, text)}", bits, width).filter(F.col("doc_key").isNotNull())
     stays = found.groupBy("root").agg(F.min(F.struct("doc_key", *ROW_ID)).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in ROW_ID])
-    return rows.join(stays, list(ROW_ID), "left_semi").select(*docs.columns).unionByName(rows.filter(F.col(key).isNull()).select(*docs.columns))
+    kept = rows.join(stays, list(ROW_ID), "left_semi").select(*own).unionByName(rows.filter(F.col(key).isNull()).select(*own))
+    return kept.toDF(*docs.columns)

@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from authscope.llm.common import UNICODE_SPACE, by_bytes, safe_blocks, small_batches
+from authscope.llm.common import UNICODE_SPACE, by_bytes, numbered, position, safe_blocks, slices
 
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Texts with none of these characters are cut into pre-tokens right here: letters of Latin-1, digits, plain
@@ -30,8 +31,8 @@ _LEADING = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+
 _LETTERS = re.compile(f"[{_LETTER}]+")
 _TO_SPACE = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
 
-#: Pieces a worker remembers at most, characters of one that is remembered, and characters of a batch and a block.
-REMEMBERED, REMEMBERED_CHARS, BATCH_CHARS, BLOCK_CHARS = 600_000, 64, 1 << 17, 1 << 20
+#: Pieces a worker remembers at most, characters of one that is remembered, bytes of a batch and characters of a block.
+REMEMBERED, REMEMBERED_CHARS, BATCH_BYTES, BLOCK_CHARS = 600_000, 64, 1 << 17, 1 << 20
 
 
 def leading(text: str) -> list[str]:
@@ -66,13 +67,13 @@ class Encoder:
         return np.array(ids, "<u4").tobytes() if self.packed else len(ids)
 
     def encode(self, pieces: list[str]) -> Iterator:
-        for i, j in by_bytes(pieces, BATCH_CHARS):
+        for i, j in by_bytes(pieces, BATCH_BYTES):
             for e in self.tokenizer.encode_batch_fast(pieces[i:j], add_special_tokens=False):
                 yield self._value(e.ids)
 
     def encode_words(self, words: list[str]) -> Iterator:
         """As encode(), for words of letters; many are encoded as one text and told apart by their edge ids."""
-        for i, j in by_bytes(words, BATCH_CHARS):
+        for i, j in by_bytes(words, BATCH_BYTES):
             some = words[i:j]
             (e,) = self.tokenizer.encode_batch_fast([(" " if self.packed else "").join(some)], add_special_tokens=False)
             ids = np.array(e.ids, "<u4")
@@ -144,22 +145,21 @@ def packer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     return encoder(path, True).texts
 
 
-def count_tokens(docs: DataFrame, path: str, text: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
-    """The other columns of docs with n_bytes (UTF-8) and n_tokens (long) of every whole text.
+def count_tokens(docs: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 << 21) -> DataFrame:
+    """The other columns of docs with n_bytes (UTF-8) and n_tokens (long) of every whole text, in place of columns of those names.
 
-    Null text counts as empty: 0 bytes, 0 tokens. Rows stay as they are, repeated ones too; an empty table gives an empty result.
+    Null text counts as empty: 0 bytes, 0 tokens. Rows stay as they are, repeated ones too; an empty table gives an
+    empty result. Long texts are encoded block by block; what is unpacked at once is bounded by bytes.
     """
-    keep = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False)])
+    at = position(docs, text)
+    keep = [i for i, c in enumerate(docs.columns) if i != at and c.lower() not in ("n_bytes", "n_tokens")]
+    rows = numbered(docs).select(f"c{at}", *[f"c{i}" for i in keep])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("n_bytes", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in batches:
-            texts, lengths = batch.column(0).to_pylist(), []
-            for i, j in by_bytes(texts, batch_chars):
-                lengths += count(texts[i:j])
-            sizes = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
-
-    small_batches(docs.sparkSession)
-    return docs.select(text, *keep).mapInArrow(run, schema)
+        for batch in slices(batches, 0, batch_bytes):
+            sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sizes, pa.array(count(batch.column(0).to_pylist()), pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in keep], "n_bytes", "n_tokens")

@@ -13,9 +13,8 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from authscope.llm import mixing
 from authscope.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.test_operators import slow_components, slow_fingerprint, slow_measures, slow_secrets
+from tests.llm.test_operators import slow_components, slow_fill, slow_fingerprint, slow_measures, slow_secrets
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -106,7 +105,7 @@ def test_mix(spark, docs):
         taken[d["source"]] += r["taken"]
         targets[d["source"]] = r["target"]
     names = sorted(sizes)
-    expected = mixing.fill([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    expected = slow_fill([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
     assert [targets[s] for s in names] == pytest.approx(expected) and all(abs(taken[s] - targets[s]) <= 1 for s in names)
 
 
