@@ -10,6 +10,7 @@ comes out once without a distinct. Only distinct fingerprints are indexed: exact
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ SEED = 42
 SIMILAR = (4, 5)
 #: Rows (expected) that frequent shingles are counted on, shingles taken for frequent at most, and rows that make one frequent.
 SAMPLE_ROWS, FREQUENT, FREQUENT_FROM = 8192, 1 << 16, 3
+#: Orders of the sets, by a hash each, whose first set is a pivot wherever a shingle is shared.
+PIVOTS = 4
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -220,8 +223,16 @@ def signatures(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return keep.select("body", *names).mapInArrow(run, schema)
 
 
+def early(a: str, b: str) -> F.Column:
+    """Whether a and b (n, pos) share a shingle so early that their sets may be similar: in one order for all, two similar
+    sets share one that has at least as many behind it, itself included, in either set as they must have in common."""
+    num, den = SIMILAR
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return ((F.col(f"{a}.n") - F.col(f"{a}.pos")) * (num + den) >= both * num) & ((F.col(f"{b}.n") - F.col(f"{b}.pos")) * (num + den) >= both * num)
+
+
 def possible(shared: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs (u, v) of set ids, each once, of rows that say where a and b (set_id, n, pos) have a shingle in both prefixes.
+    """Pairs (u, v) of set ids, each once, of rows that say where a and b (set_id, n, pos) share a shingle early().
 
     Up to the last such place they share as many shingles as there are rows; behind it at most all that are left.
     Pairs that can't be similar even so go; if a pair's rows are not all there, it may go too.
@@ -245,10 +256,9 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
 
     Links are pairs of similar sets, by their exact Jaccard similarity; groups are their connected components.
     Candidates come in two steps. First each set meets one close fingerprint and, for each shingle of its prefix,
-    the smallest set id that has it there: about as many pairs as sets, however dense a group is. Then sets
-    that share a shingle of their prefixes meet unless they are in one group already, so no similar pair is missed.
+    the PIVOTS sets that come first among those that have it there: a few pairs a set, however dense a group is. Then
+    sets that share a shingle of their prefixes meet unless they are in one group already, so no similar pair is missed.
     """
-    num, den = SIMILAR
     fps = materialize(signatures(rows, key, text, width), "fp")
     nodes = fps.groupBy("set_id").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(*ROW_ID)).alias("row"))
     nodes = materialize(nodes, "sets")
@@ -258,10 +268,13 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     close = close.join(least("a"), "a").join(least("b"), "b").select(F.col("least_a").alias("u"), F.col("least_b").alias("v"))
     equal = nodes.select("fp", "set_id").join(classes, "fp").filter("set_id <> least").select(F.col("least").alias("u"), F.col("set_id").alias("v"))
     index = nodes.select("set_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    met = index.groupBy("shingle").agg(F.min(F.struct("set_id", "n", "pos")).alias("pivot"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    leaders = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("set_id")).alias("turn"), "set_id", "n", "pos")).alias(f"pivot_{i}") for i in range(PIVOTS)]
+    met = index.groupBy("shingle").agg(F.count("*").alias("times"), *leaders).filter("times > 1").drop("times")
     index = materialize(index.join(met, "shingle"), "prefixes")
-    pivots = possible(index.filter("pivot.set_id <> set_id").select("pivot", F.struct("set_id", "n", "pos").alias("own")), "pivot", "own")
-    first = materialize(pivots.union(close).union(equal).distinct(), "pairs")
+    pivots = [possible(index.filter(f"pivot_{i}.set_id <> set_id").select(F.col(f"pivot_{i}").alias("pivot"), F.struct("set_id", "n", "pos").alias("own")).filter(early("pivot", "own")), "pivot", "own") for i in range(PIVOTS)]
+    pivots = reduce(DataFrame.union, pivots)
+    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    first = materialize(ordered(pivots.union(close).union(equal)).distinct(), "pairs")
     wanted = first.select(F.col("u").alias("set_id")).union(first.select("v")).union(index.select("set_id")).distinct()
     where = nodes.join(wanted, "set_id", "left_semi").select("set_id", *[F.col(f"row.{c}").alias(c) for c in ROW_ID])
     sets = materialize(shingle_sets(rows.select(*ROW_ID, F.col(text).alias("body")).join(where, list(ROW_ID)), "body", "set_id", width), "shingles")
@@ -274,8 +287,7 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
         (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.set_id") < F.col("b.set_id"))
         & (F.col("a.root") != F.col("b.root"))
-        & (F.col("a.n") * den >= F.col("b.n") * num)
-        & (F.col("b.n") * den >= F.col("a.n") * num),
+        & early("a", "b"),
     )
     rest = materialize(possible(rest, "a", "b"), "pairs")
     found = materialize(similar_pairs(rest, sets), "near")
