@@ -25,10 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: one computation, cut lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: one computation, cut lineage, survives lost executors.
+
+    `done` are tables written like this that nothing needs any more: they go, and so do shuffle files of finished work,
+    which stay on the executors' disks until the driver's collector finds that no plan refers to them.
+    """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    for table in done:
+        release(table)
+    if done:
+        df.sparkSession.sparkContext._jvm.System.gc()
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._shared_path = path
     return back
@@ -116,7 +124,10 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+#: Row identity: hash of the file's path (64 bits, for files only, of which there are never billions) and place in it.
 ROW_ID = ("_file", "_row_index")
+#: Rows of row identities and a few numbers that are broadcast at most; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def _plain_scan(df: DataFrame) -> bool:
@@ -128,14 +139,19 @@ def _plain_scan(df: DataFrame) -> bool:
 
 
 def with_row_id(df: DataFrame, tag: str = "rows") -> DataFrame:
-    """numbered(df) and a row identity: file name and place in the file, the same in every later scan of the same files.
-    What isn't a plain scan of files is written first."""
+    """numbered(df) and a row identity, the same in every later scan of the same files. What isn't a plain scan of files is
+    written first."""
     if _plain_scan(df):
         try:
-            found = df.select("*", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+            found = df.select("*", F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index"))
             found = found.toDF(*[f"c{i}" for i in range(len(df.columns))], *ROW_ID)
             found.schema  # noqa: B018  resolves the names
             return found
         except AnalysisException:  # a source without places, or a column of the caller's called _metadata
             pass
     return with_row_id(materialize(numbered(df), tag), tag)
+
+
+def by_row(rows: DataFrame, written: DataFrame, how: str) -> DataFrame:
+    """rows joined with a written table by row identity; the table is broadcast if it is small, so that texts stay where they are."""
+    return rows.join(F.broadcast(written) if written.count() <= BROADCAST_ROWS else written, list(ROW_ID), how)

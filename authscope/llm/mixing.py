@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.llm.common import ROW_ID, materialize, n_words, position, with_row_id
+from authscope.llm.common import ROW_ID, by_row, materialize, n_words, position, with_row_id
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Training time, and for each place in WEIGHTS the schedule there: steady, rising, falling.
@@ -156,5 +156,5 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     time = _time(_demand(F.col("place") + (F.col("turn") - 1) * F.col("source_size")))
     times = turns.select(*ROW_ID, F.struct(time.alias("time"), "hash", "turn", "tie").alias("at")).groupBy(*ROW_ID).agg(F.collect_list("at").alias("times"))
     own = [x for x in rows.columns if x not in ROW_ID]
-    found = rows.join(times, list(ROW_ID)).select(*own, F.explode("times").alias("at"))
+    found = by_row(rows, materialize(times, "times", sized), "inner").select(*own, F.explode("times").alias("at"))
     return found.orderBy("at.time", "at.hash", "at.turn", "at.tie").select(*own).toDF(*docs.columns)

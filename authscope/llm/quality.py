@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import SPACES, materialize, numbered, picked, position, slices
+from authscope.llm.common import ROW_ID, SPACES, by_row, materialize, picked, position, slices, with_row_id
 
 BROADCAST_STRATA = 50_000
 SYMBOLS = "#*$%&|<>"
@@ -224,10 +224,11 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text", p: Risk = Risk()) -> DataFrame:
     """The rows of docs that the rules keep, all columns unchanged; no join by key, so repeated keys do no harm.
 
-    Texts are measured once; rows are written with their measures and read again for the verdict, so that no text is
-    shuffled. The other cases as for assess().
+    Texts are measured once; rows that go meet theirs by row identity. The other cases as for assess().
     """
-    own = numbered(docs)
-    named = {n: f"c{position(docs, c)}" for n, c in (("doc_key", key), ("stratum", stratum))}
-    measured = materialize(measure(own, f"c{position(docs, text)}"), "quality").withColumns({n: F.col(c) for n, c in named.items()})
-    return judged(measured, _label_rows(labels, key), p).filter("kept").select(*own.columns).toDF(*docs.columns)
+    rows = with_row_id(docs, "quality")
+    c = lambda name: F.col(f"c{position(docs, name)}")
+    named = rows.select(*ROW_ID, c(key).alias("doc_key"), c(stratum).alias("stratum"), c(text).alias("body"))
+    measured = materialize(measure(named, "body").drop("body"), "quality")
+    goes = materialize(judged(measured, _label_rows(labels, key), p).filter("not kept").select(*ROW_ID), "goes", measured)
+    return by_row(rows, goes, "left_anti").drop(*ROW_ID).toDF(*docs.columns)

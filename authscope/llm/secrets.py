@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.llm.common import ROW_ID, materialize, numbered, picked, position, with_row_id
+from authscope.llm.common import ROW_ID, by_row, materialize, numbered, picked, position, with_row_id
 
 #: kind: (pattern, group of the value, least characters of the value). The value always ends the match.
 PATTERNS: dict[str, tuple[str, int, int]] = {
@@ -131,20 +131,19 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, owner: str | Column = "source", repository: str | Column = "lang", text: str = "text", mark: str = "[SECRET]", p: Ownership = Ownership()) -> DataFrame:
     """docs with live values replaced by `mark`; widely copied examples stay. Columns and rows stay as they are.
 
-    Every text is scanned once: rows are written with what was found in them. Those without a candidate come back
-    as they are, the others meet their spans by row identity. Null texts stay null; the other cases as for scan().
+    Every text is scanned once; what was found meets its rows by row identity. Null texts stay null; the other cases as
+    for scan().
     """
-    own = numbered(docs)
-    text = f"c{position(docs, text)}"
     who = {"owner": owner, "repository": repository}
     made = {n: c for n, c in who.items() if isinstance(c, Column)}
-    own = docs.select("*", *made.values()).toDF(*own.columns, *made).withColumns({n: F.col(f"c{position(docs, c)}") for n, c in who.items() if n not in made})
-    scanned = materialize(own.withColumn("hits", _hits(F.coalesce(F.col(text), F.lit("")), p)), "scanned")
-    rows = with_row_id(scanned).toDF(*scanned.columns, *ROW_ID)
-    keys, back = list(ROW_ID), [f"c{i}" for i in range(len(docs.columns))]
-    loud = rows.filter(F.size("hits") > 0)
-    live = judged(located(loud.select(*keys, "owner", "repository", "hits"), keys), p).filter("verdict = 'live'")
+    rows = with_row_id(docs.select("*", *made.values()).toDF(*numbered(docs).columns, *made), "redact")
+    rows = rows.toDF(*numbered(docs).columns, *made, *ROW_ID).withColumns({n: F.col(f"c{position(docs, c)}") for n, c in who.items() if n not in made})
+    text, keys = f"c{position(docs, text)}", list(ROW_ID)
+    hits = rows.select(*keys, "owner", "repository", _hits(F.coalesce(F.col(text), F.lit("")), p).alias("hits"))
+    found = materialize(hits.filter(F.size("hits") > 0), "secrets")
+    live = judged(located(found, keys), p).filter("verdict = 'live'")
     cuts = live.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.col("value_start").alias("start"), "end"))).alias("cuts"))
+    cuts = materialize(cuts, "cuts", found)
     body = F.col(text)
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
@@ -154,5 +153,5 @@ def redact(docs: DataFrame, owner: str | Column = "source", repository: str | Co
         )
     )
     clean = F.aggregate("cuts", state, step, lambda s: F.concat(s["out"], F.substring(body, (s["at"] + 1).cast("int"), F.length(body))))
-    hit = loud.join(cuts, keys, "left").withColumn(text, F.when(F.col("cuts").isNull(), body).otherwise(clean))
-    return rows.filter(F.size("hits") == 0).select(*back).unionByName(hit.select(*back)).toDF(*docs.columns)
+    marked = by_row(rows, cuts, "left").withColumn(text, F.when(F.col("cuts").isNull(), body).otherwise(clean))
+    return marked.select(*numbered(docs).columns).toDF(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import ROW_ID, materialize, picked, position, release, slices, with_row_id
+from authscope.llm.common import ROW_ID, by_row, materialize, picked, position, release, slices, with_row_id
 
 SEED = 42
 
@@ -243,12 +243,19 @@ def possible(shared: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(most * (num + den) >= F.expr("n + m") * num).select("u", "v")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of set ids whose sets are similar."""
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str, width: int) -> DataFrame:
+    """The pairs (u, v) of set ids whose sets are similar, as a written table.
+
+    Texts of the sets in question, one row each, are read again; no other set is made or moved.
+    """
     num, den = SIMILAR
+    wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
+    where = materialize(nodes.join(wanted, "set_id", "left_semi").select("set_id", *ROW_ID), "where")
+    sets = materialize(shingle_sets(by_row(rows.select(*ROW_ID, F.col(text).alias("body")), where, "inner"), "body", "set_id", width), "shingles", where)
     a, b = (sets.select(F.col("set_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     both = F.size(F.array_intersect("of_u", "of_v"))
-    return pairs.join(a, "u").join(b, "v").filter(both * (num + den) >= num * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+    near = pairs.join(a, "u").join(b, "v").filter(both * (num + den) >= num * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+    return materialize(near, "near", sets)
 
 
 def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> DataFrame:
@@ -260,41 +267,34 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     sets that share a shingle of their prefixes meet unless they are in one group already, so no similar pair is missed.
     """
     fps = materialize(signatures(rows, key, text, width), "fp")
-    nodes = fps.groupBy("set_id").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(*ROW_ID)).alias("row"))
-    nodes = materialize(nodes, "sets")
+    nodes = fps.groupBy("set_id").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("times"), F.min(F.struct(*ROW_ID)).alias("row"))
+    nodes = materialize(nodes.select("set_id", "fp", "n", "times", "row.*"), "sets")  # a set by one of its rows
     classes = materialize(nodes.groupBy("fp").agg(F.min("set_id").alias("least")), "fpclass")
     close = links(classes.select("fp"), bits).groupBy("b").agg(F.min("a").alias("a"))
     least = lambda x: classes.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}"))
     close = close.join(least("a"), "a").join(least("b"), "b").select(F.col("least_a").alias("u"), F.col("least_b").alias("v"))
     equal = nodes.select("fp", "set_id").join(classes, "fp").filter("set_id <> least").select(F.col("least").alias("u"), F.col("set_id").alias("v"))
-    index = nodes.select("set_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    close = materialize(ordered(close.union(equal)), "close", classes)
+    # copies beyond a set's first row index nothing
+    extra = fps.select(*ROW_ID, "set_id").join(nodes.filter("times > 1").select("set_id", F.struct(*ROW_ID).alias("row")), "set_id").filter(~F.struct(*ROW_ID).eqNullSafe(F.col("row")))
+    extra = materialize(extra.select(*ROW_ID), "extra")
+    index = by_row(fps.select(*ROW_ID, "set_id", "n", "prefix"), extra, "left_anti").select("set_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
+    shared = index.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
+    index = materialize(index.join(shared, "shingle"), "prefixes", extra)
+    members = materialize(fps.select(*ROW_ID, "doc_key", "set_id"), "members", fps)
     leaders = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("set_id")).alias("turn"), "set_id", "n", "pos")).alias(f"pivot_{i}") for i in range(PIVOTS)]
-    met = index.groupBy("shingle").agg(F.count("*").alias("times"), *leaders).filter("times > 1").drop("times")
-    index = materialize(index.join(met, "shingle"), "prefixes")
-    pivots = [possible(index.filter(f"pivot_{i}.set_id <> set_id").select(F.col(f"pivot_{i}").alias("pivot"), F.struct("set_id", "n", "pos").alias("own")).filter(early("pivot", "own")), "pivot", "own") for i in range(PIVOTS)]
-    pivots = reduce(DataFrame.union, pivots)
-    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    first = materialize(ordered(pivots.union(close).union(equal)).distinct(), "pairs")
-    wanted = first.select(F.col("u").alias("set_id")).union(first.select("v")).union(index.select("set_id")).distinct()
-    where = nodes.join(wanted, "set_id", "left_semi").select("set_id", *[F.col(f"row.{c}").alias(c) for c in ROW_ID])
-    sets = materialize(shingle_sets(rows.select(*ROW_ID, F.col(text).alias("body")).join(where, list(ROW_ID)), "body", "set_id", width), "shingles")
-    near = materialize(similar_pairs(first, sets), "near")
+    met = index.join(index.groupBy("shingle").agg(*leaders), "shingle").select(F.struct("set_id", "n", "pos").alias("own"), F.explode(F.array_distinct(F.array(*[f"pivot_{i}" for i in range(PIVOTS)]))).alias("pivot"))
+    pivots = possible(met.filter("pivot.set_id <> own.set_id").filter(early("pivot", "own")), "pivot", "own")
+    first = materialize(ordered(pivots.union(close)), "pairs", close)
+    near = similar_pairs(first, nodes, rows, text, width)
     tree = components(near)
-    index = materialize(index.join(tree, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("root")), "prefixes")
-    a, b = index.alias("a"), index.alias("b")
-    rest = a.join(
-        b,
-        (F.col("a.shingle") == F.col("b.shingle"))
-        & (F.col("a.set_id") < F.col("b.set_id"))
-        & (F.col("a.root") != F.col("b.root"))
-        & early("a", "b"),
-    )
-    rest = materialize(possible(rest, "a", "b"), "pairs")
-    found = materialize(similar_pairs(rest, sets), "near")
-    tree = components(near.union(found))
-    for table in (classes, first, rest, sets, index):
-        release(table)
-    return fps.join(tree, F.col("set_id") == F.col("node"), "left").select(*ROW_ID, "doc_key", F.coalesce("root", "set_id").alias("root"))
+    rooted = materialize(index.join(tree, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
+    a, b = rooted.alias("a"), rooted.alias("b")
+    rest = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & early("a", "b"))
+    rest = materialize(possible(rest, "a", "b"), "pairs", rooted)
+    tree = components(near.union(similar_pairs(rest, nodes, rows, text, width)))
+    return members.join(tree, F.col("set_id") == F.col("node"), "left").select(*ROW_ID, "doc_key", F.coalesce("root", "set_id").alias("root"))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 4, width: int = 5) -> DataFrame:
@@ -317,7 +317,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int
     """
     rows, key = with_row_id(docs, "dedup"), f"c{position(docs, key)}"
     own = [c for c in rows.columns if c not in ROW_ID]
-    found = _grouped(rows, key, f"c{position(docs, text)}", bits, width).filter(F.col("doc_key").isNotNull())
-    stays = found.groupBy("root").agg(F.min(F.struct("doc_key", *ROW_ID)).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in ROW_ID])
-    kept = rows.join(stays, list(ROW_ID), "left_semi").select(*own).unionByName(rows.filter(F.col(key).isNull()).select(*own))
-    return kept.toDF(*docs.columns)
+    found = materialize(_grouped(rows, key, f"c{position(docs, text)}", bits, width).filter("doc_key is not null"), "groups")
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_key", *ROW_ID)).alias("row"))
+    goes = found.join(stays, "root").filter(F.struct("doc_key", *ROW_ID) != F.col("row")).select(*ROW_ID)
+    return by_row(rows, materialize(goes, "goes", found), "left_anti").select(*own).toDF(*docs.columns)
