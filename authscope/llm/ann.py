@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from authscope.llm.common import picked
+from authscope.llm.common import in_arrow, picked
 
 
 @dataclass(frozen=True)
@@ -177,7 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
 
     def count(some: DataFrame) -> list[np.ndarray]:
         out = [np.zeros(t.leaves, np.int64) for t in forest.value]
-        for r in some.select("vector").mapInArrow(leaves, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
+        for r in in_arrow(some.select("vector"), leaves, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
             out[r["tree"]][r["leaf"]] = r["n"]
         return out
 
@@ -227,9 +227,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
                     out += [(query, ids[some[o]], d[o]) for o in order]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    indexed = rows.mapInArrow(index, "bundle long, block long, leaf long, vec_id long, vector array<double>")
+    indexed = in_arrow(rows, index, "bundle long, block long, leaf long, vec_id long, vector array<double>")
     indexed = indexed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    routed = asked.mapInArrow(route, "bundle long, block long, leaves array<long>, query_id long, vector array<double>")
+    routed = in_arrow(asked, route, "bundle long, block long, leaves array<long>, query_id long, vector array<double>")
     routed = routed.withColumn("part", F.pmod(F.xxhash64("query_id", "vector"), F.lit(parts)).cast("int"))
     keys = ["bundle", "block", "part"]
     won = indexed.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")

@@ -73,6 +73,19 @@ def picked(df: DataFrame, **names: str | Column) -> DataFrame:
     return rows.select(*[n if n in made else F.col(f"c{position(df, c)}").alias(n) for n, c in names.items()])
 
 
+#: Bounds of an Arrow batch, for sessions that set none of their own: long texts mustn't fill a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
+
+def in_arrow(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of bounded size, the same for every operator; what the session says counts first."""
+    said = rows.sparkSession.conf.getAll
+    for name, value in BATCH.items():
+        if name not in said:
+            rows.sparkSession.conf.set(name, value)
+    return rows.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about `limit` bytes of column number `text`, one row at least, so that what is
     unpacked in Python at once is bounded whatever size the batches have."""

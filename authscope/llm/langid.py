@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import picked, slices
+from authscope.llm.common import in_arrow, picked, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BITS, _BLOCK, REMEMBERED = 15, 32, 400_000
@@ -313,4 +313,4 @@ def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str =
             found = model.value.identify(texts) if model.value.labels else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(key, "lang_pred", "score")
+    return in_arrow(rows, run, schema).toDF(key, "lang_pred", "score")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import materialize, picked, slices
+from authscope.llm.common import in_arrow, materialize, picked, slices
 from authscope.llm.tokens import packer
 
 CAPACITY, BLOCK, END, GROUP = 2048, 512, 1, 1024
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             arrays = [pa.array(x, pa.int64() if c < 4 else pa.binary()) for c, x in enumerate(zip(*out, strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(which, pa.int64())), *arrays], names=names)
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
+    return in_arrow(rows, run, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]))
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, block: int = BLOCK, group: int = GROUP, with_ids: bool = False) -> DataFrame:

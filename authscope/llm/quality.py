@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import ROW_ID, SPACES, by_row, materialize, picked, position, slices, with_row_id
+from authscope.llm.common import ROW_ID, SPACES, by_row, in_arrow, materialize, picked, position, slices, with_row_id
 
 BROADCAST_STRATA = 50_000
 SYMBOLS = "#*$%&|<>"
@@ -96,7 +96,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep), run, schema)
 
 
 def base_failed(p: Risk) -> F.Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from authscope.llm.common import ROW_ID, by_row, materialize, picked, position, release, slices, with_row_id
+from authscope.llm.common import ROW_ID, by_row, in_arrow, materialize, picked, position, release, slices, with_row_id
 
 SEED = 42
 
@@ -30,6 +30,8 @@ SIMILAR = (4, 5)
 SAMPLE_ROWS, FREQUENT, FREQUENT_FROM = 8192, 1 << 16, 3
 #: Orders of the sets, by a hash each, whose first set is a pivot wherever a shingle is shared.
 PIVOTS = 4
+#: Longs of a parity sketch.
+SKETCH = 16
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -73,7 +75,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFra
             found = [int(majority(shingle_hashes(x.as_py(), width))[0]) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.int64())], names=[*keep, "fp"])
 
-    return docs.select(text, *keep).mapInArrow(run, schema)
+    return in_arrow(docs.select(text, *keep), run, schema)
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -163,6 +165,13 @@ def _distinct(hashes: list[int]) -> np.ndarray:
     return np.unique(np.array(hashes, dtype="<u8"))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """64 * SKETCH bits, each the parity of the shingles that fall on it. A shingle that only one of two sets has flips one
+    bit, so the sets differ in at least as many shingles as their sketches in bits."""
+    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a sorted set, in one order for all texts, such that two similar sets share one of theirs.
 
@@ -185,7 +194,7 @@ def shingle_sets(rows: DataFrame, text: str, key: str, width: int) -> DataFrame:
             sets = [_distinct(shingle_hashes(x.as_py(), width)).view("<i8") for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"])
 
-    return rows.select(text, key).mapInArrow(run, schema)
+    return in_arrow(rows.select(text, key), run, schema)
 
 
 def frequent_shingles(rows: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,27 +209,29 @@ def frequent_shingles(rows: DataFrame, text: str, width: int) -> tuple[np.ndarra
 
 
 def signatures(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Every row's identity and doc_key with fp, set_id (hash of the set of shingles), its size n, and its prefix."""
+    """Every row's identity and doc_key with fp, set_id (hash of the set of shingles), its size n, sketch and prefix."""
     keep = rows.select(*ROW_ID, F.col(key).alias("doc_key"), F.col(text).alias("body"))
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(keep, "body", width))
     names = [*ROW_ID, "doc_key"]
     more = [T.StructField(c, T.LongType(), False) for c in ("fp", "set_id", "n")]
-    schema = T.StructType([*[keep.schema[c] for c in names], *more, T.StructField("prefix", T.ArrayType(T.LongType(), False), False)])
+    longs = T.ArrayType(T.LongType(), False)
+    schema = T.StructType([*[keep.schema[c] for c in names], *more, T.StructField("sketch", longs, False), T.StructField("prefix", longs, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            fps, ids, sizes, first = [], [], [], []
+            fps, ids, sizes, sketches, first = [], [], [], [], []
             for x in batch.column(0):
                 hashes = shingle_hashes(x.as_py(), width)
                 own = _distinct(hashes)
                 fps.append(int(majority(hashes)[0]))
                 ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 sizes.append(len(own))
+                sketches.append(sketch(own))
                 first.append(prefix(own, *frequent.value).view("<i8"))
-            arrays = [*batch.columns[1:], pa.array(fps, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "fp", "set_id", "n", "prefix"])
+            arrays = [*(pa.array(x, pa.int64()) for x in (fps, ids, sizes)), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, first))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], names=schema.names)
 
-    return keep.select("body", *names).mapInArrow(run, schema)
+    return in_arrow(keep.select("body", *names), run, schema)
 
 
 def early(a: str, b: str) -> F.Column:
@@ -246,16 +257,20 @@ def possible(shared: DataFrame, a: str, b: str) -> DataFrame:
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str, width: int) -> DataFrame:
     """The pairs (u, v) of set ids whose sets are similar, as a written table.
 
-    Texts of the sets in question, one row each, are read again; no other set is made or moved.
+    Pairs whose sketches differ in more bits than similar sets may in shingles go first. Texts of the sets that are
+    left, one row each, are read again; no other set is made or moved.
     """
     num, den = SIMILAR
+    of = lambda x: nodes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    pairs = materialize(pairs.join(of("u"), "u").join(of("v"), "v").filter(apart * (num + den) <= (F.col("n_u") + F.col("n_v")) * (den - num)).select("u", "v"), "sketched")
     wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
     where = materialize(nodes.join(wanted, "set_id", "left_semi").select("set_id", *ROW_ID), "where")
     sets = materialize(shingle_sets(by_row(rows.select(*ROW_ID, F.col(text).alias("body")), where, "inner"), "body", "set_id", width), "shingles", where)
     a, b = (sets.select(F.col("set_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     both = F.size(F.array_intersect("of_u", "of_v"))
     near = pairs.join(a, "u").join(b, "v").filter(both * (num + den) >= num * (F.size("of_u") + F.size("of_v"))).select("u", "v")
-    return materialize(near, "near", sets)
+    return materialize(near, "near", sets, pairs)
 
 
 def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> DataFrame:
@@ -267,8 +282,8 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     sets that share a shingle of their prefixes meet unless they are in one group already, so no similar pair is missed.
     """
     fps = materialize(signatures(rows, key, text, width), "fp")
-    nodes = fps.groupBy("set_id").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("times"), F.min(F.struct(*ROW_ID)).alias("row"))
-    nodes = materialize(nodes.select("set_id", "fp", "n", "times", "row.*"), "sets")  # a set by one of its rows
+    nodes = fps.groupBy("set_id").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("times"), F.min(F.struct(*ROW_ID)).alias("row"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.select("set_id", "fp", "n", "times", "row.*", "sketch"), "sets")  # a set by one of its rows
     classes = materialize(nodes.groupBy("fp").agg(F.min("set_id").alias("least")), "fpclass")
     close = links(classes.select("fp"), bits).groupBy("b").agg(F.min("a").alias("a"))
     least = lambda x: classes.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from authscope.llm.common import UNICODE_SPACE, by_bytes, numbered, position, safe_blocks, slices
+from authscope.llm.common import UNICODE_SPACE, by_bytes, in_arrow, numbered, position, safe_blocks, slices
 
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Texts with none of these characters are cut into pre-tokens right here: letters of Latin-1, digits, plain
@@ -162,4 +162,4 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", batch_bytes: in
             sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sizes, pa.array(count(batch.column(0).to_pylist()), pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in keep], "n_bytes", "n_tokens")
+    return in_arrow(rows, run, schema).toDF(*[docs.columns[i] for i in keep], "n_bytes", "n_tokens")
