@@ -27,7 +27,7 @@ SEED = 42
 #: Jaccard similarity of two texts' sets of shingles from which they are near copies, as a fraction.
 SIMILAR = (4, 5)
 #: Rows (expected) that frequent shingles are counted on, shingles taken for frequent at most, and rows that make one frequent.
-SAMPLE_ROWS, FREQUENT, FREQUENT_FROM = 8192, 1 << 16, 3
+SAMPLE_ROWS, FREQUENT, FREQUENT_FROM = 1 << 16, 1 << 19, 3
 #: Orders of the sets, by a hash each, whose first set is a pivot wherever a shingle is shared.
 PIVOTS = 4
 #: Longs of a parity sketch.
@@ -117,6 +117,15 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """The edges after a large-star and a small-star round."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = _smallest(both).select("u", F.least("u", "m").alias("m"))
+    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    low = _smallest(large)
+    return large.join(low, "u").select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node that is reachable.
 
@@ -126,12 +135,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "cc")
     before = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = _smallest(large)
-        small = large.join(low, "u").select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "cc")
+        after = materialize(_stars(edges), "cc")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(edges)
         edges = after
@@ -202,10 +206,12 @@ def frequent_shingles(rows: DataFrame, text: str, width: int) -> tuple[np.ndarra
     part = min(1.0, SAMPLE_ROWS / max(1, rows.count()))
     some = rows.filter(F.pmod(F.xxhash64(*ROW_ID), F.lit(10**9)) < int(part * 10**9)).select(F.lit(0).alias("one"), text)
     counts = shingle_sets(some, text, "one", width).select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= FREQUENT_FROM)
-    top = counts.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
-    hashes = np.array([r["s"] for r in top], "<i8").view("<u8")
+    counted = materialize(counts, "counted", some)  # so that the shuffle of the sample's shingles goes
+    top = counted.orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").toArrow()["s"].to_numpy().astype("<i8")
+    release(counted)
+    hashes = top.view("<u8")
     order = np.argsort(hashes)
-    return hashes[order], (len(top) - np.arange(len(top)))[order]
+    return hashes[order], (len(top) - np.arange(len(top), dtype=np.int32))[order]
 
 
 def signatures(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -234,6 +240,11 @@ def signatures(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return in_arrow(keep.select("body", *names), run, schema)
 
 
+def apart(sketches: list[tuple[F.Column, F.Column]]) -> F.Column:
+    """Bits in which two sketches differ, over the longs of them that are given."""
+    return reduce(lambda x, y: x + y, (F.bit_count(a.bitwiseXOR(b)) for a, b in sketches))
+
+
 def early(a: str, b: str) -> F.Column:
     """Whether a and b (n, pos) share a shingle so early that their sets may be similar: in one order for all, two similar
     sets share one that has at least as many behind it, itself included, in either set as they must have in common."""
@@ -254,16 +265,20 @@ def possible(shared: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(most * (num + den) >= F.expr("n + m") * num).select("u", "v")
 
 
+def screened(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) but for those whose sketches differ in more bits than similar sets may in shingles."""
+    num, den = SIMILAR
+    of = lambda x: nodes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    differ = apart([(F.col("sketch_u")[i], F.col("sketch_v")[i]) for i in range(SKETCH)])
+    return pairs.join(of("u"), "u").join(of("v"), "v").filter(differ * (num + den) <= (F.col("n_u") + F.col("n_v")) * (den - num)).select("u", "v")
+
+
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str, width: int) -> DataFrame:
     """The pairs (u, v) of set ids whose sets are similar, as a written table.
 
-    Pairs whose sketches differ in more bits than similar sets may in shingles go first. Texts of the sets that are
-    left, one row each, are read again; no other set is made or moved.
+    Texts of the sets in question, one row each, are read again; no other set is made or moved.
     """
     num, den = SIMILAR
-    of = lambda x: nodes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    pairs = materialize(pairs.join(of("u"), "u").join(of("v"), "v").filter(apart * (num + den) <= (F.col("n_u") + F.col("n_v")) * (den - num)).select("u", "v"), "sketched")
     wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
     where = materialize(nodes.join(wanted, "set_id", "left_semi").select("set_id", *ROW_ID), "where")
     sets = materialize(shingle_sets(by_row(rows.select(*ROW_ID, F.col(text).alias("body")), where, "inner"), "body", "set_id", width), "shingles", where)
@@ -301,13 +316,18 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     leaders = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("set_id")).alias("turn"), "set_id", "n", "pos")).alias(f"pivot_{i}") for i in range(PIVOTS)]
     met = index.join(index.groupBy("shingle").agg(*leaders), "shingle").select(F.struct("set_id", "n", "pos").alias("own"), F.explode(F.array_distinct(F.array(*[f"pivot_{i}" for i in range(PIVOTS)]))).alias("pivot"))
     pivots = possible(met.filter("pivot.set_id <> own.set_id").filter(early("pivot", "own")), "pivot", "own")
-    first = materialize(ordered(pivots.union(close)), "pairs", close)
+    first = materialize(screened(ordered(pivots.union(close)), nodes), "pairs", close)
     near = similar_pairs(first, nodes, rows, text, width)
     tree = components(near)
-    rooted = materialize(index.join(tree, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
+    # half of the sketch goes along: it tells sets apart before a pair is made
+    half = [f"bits_{i}" for i in range(SKETCH // 2)]
+    rooted = index.join(nodes.select("set_id", *[F.col("sketch")[i].alias(b) for i, b in enumerate(half)]), "set_id").join(tree, F.col("set_id") == F.col("node"), "left")
+    rooted = materialize(rooted.select("shingle", "set_id", "n", "pos", *half, F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
     a, b = rooted.alias("a"), rooted.alias("b")
-    rest = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & early("a", "b"))
-    rest = materialize(possible(rest, "a", "b"), "pairs", rooted)
+    num, den = SIMILAR
+    near_enough = apart([(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in half]) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
+    rest = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & early("a", "b") & near_enough)
+    rest = materialize(screened(possible(rest, "a", "b"), nodes), "pairs", rooted)
     tree = components(near.union(similar_pairs(rest, nodes, rows, text, width)))
     return members.join(tree, F.col("set_id") == F.col("node"), "left").select(*ROW_ID, "doc_key", F.coalesce("root", "set_id").alias("root"))
 
