@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,8 +310,7 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     extra = fps.select(*ROW_ID, "set_id").join(nodes.filter("times > 1").select("set_id", F.struct(*ROW_ID).alias("row")), "set_id").filter(~F.struct(*ROW_ID).eqNullSafe(F.col("row")))
     extra = materialize(extra.select(*ROW_ID), "extra")
     index = by_row(fps.select(*ROW_ID, "set_id", "n", "prefix"), extra, "left_anti")
-    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
-    index = index.select("set_id", F.col("n").cast("int").alias("n"), F.posexplode(F.arrays_zip(F.col("prefix").alias("shingle"), before.alias("prev"))).alias("pos", "x")).select("set_id", "n", "pos", "x.*")
+    index = index.select("set_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
     shared = index.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
     index = materialize(index.join(shared, "shingle"), "prefixes", extra)
     members = materialize(fps.select(*ROW_ID, "doc_key", "set_id"), "members", fps)
@@ -323,14 +322,16 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     tree = components(near)
     # half of the sketch goes along: it tells sets apart before a pair is made
     half = [f"bits_{i}" for i in range(SKETCH // 2)]
-    rooted = index.join(nodes.select("set_id", *[F.col("sketch")[i].alias(b) for i, b in enumerate(half)]), "set_id").join(tree, F.col("set_id") == F.col("node"), "left")
-    rooted = materialize(rooted.select("shingle", "prev", "set_id", "n", "pos", *half, F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
+    own = Window.partitionBy("set_id").orderBy("pos")
+    before = F.array_compact(F.array(*[F.lag("shingle", k).over(own) for k in range(1, 5)]))
+    rooted = index.withColumn("before", before).join(nodes.select("set_id", *[F.col("sketch")[i].alias(b) for i, b in enumerate(half)]), "set_id").join(tree, F.col("set_id") == F.col("node"), "left")
+    rooted = materialize(rooted.select("shingle", "before", "set_id", "n", "pos", *half, F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
     a, b = rooted.alias("a"), rooted.alias("b")
     num, den = SIMILAR
     near_enough = apart([(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in half]) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
-    # the first shingle that two sets share has no shared one right before it, and before it only such as one set has
-    begins = ~F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False)) & ((F.col("a.pos") + F.col("b.pos")) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num))
-    rest = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & early("a", "b") & begins & near_enough)
+    # the first shingle that two sets share has no shared one among the last before it, and before it only such as one set has
+    begins = ~F.arrays_overlap("a.before", "b.before") & ((F.col("a.pos") + F.col("b.pos")) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num))
+    rest = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & early("a", "b") & near_enough & begins)
     rest = rest.select(F.col("a.set_id").alias("u"), F.col("b.set_id").alias("v")).distinct()
     rest = materialize(screened(rest, nodes), "pairs", rooted)
     tree = components(near.union(similar_pairs(rest, nodes, rows, text, width)))
