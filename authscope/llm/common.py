@@ -36,12 +36,17 @@ def materialize(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
     for table in done:
         release(table)
     if done:
-        df.sparkSession.sparkContext._jvm.System.gc()
+        sweep(df.sparkSession)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._shared_path = path
     return back
 
 
+def sweep(spark: SparkSession) -> None:
+    """Ask the driver's collector to find finished plans now, so that their shuffle files go."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that materialize() wrote; its data must no longer be needed."""
     path = getattr(df, "_shared_path", None)
