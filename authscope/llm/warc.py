@@ -86,7 +86,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", html: str =
     keepers = narrow.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "row", *ROW_ID)).alias("k")).select("digest", *[F.col(f"k.{c}").alias(c) for c in ROW_ID])
     rows.join(keepers, list(ROW_ID)).select("digest", "payload").write.parquet(f"{path}/payloads")
     release(narrow)
-    sweep(spark)
+    sweep(pages.sparkSession)
 
 
 def read_payloads(spark, path: str) -> DataFrame:
