@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authscope.llm.common import ROW_ID, materialize, new_path, position, release, sweep, with_row_id
+from authscope.llm.common import ROW_ID, by_row, materialize, new_path, position, release, sweep, with_row_id
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -72,8 +72,8 @@ def headers(found: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", html: str = "html", url: str = "url", least: int = 0) -> None:
     """Write the payload store and the headers under path.
 
-    Firsts are found on rows without payload; each distinct payload is then moved once, so a payload that most pages
-    share costs no more than another. Null html is an empty payload; a null url gets a urn; rows that repeat an id, or
+    Firsts are found on rows without payload; each distinct payload is then written by one of its rows, so a payload that
+    most pages share costs no more than another. Payloads are moved only if there are too many to broadcast which rows. Null html is an empty payload; a null url gets a urn; rows that repeat an id, or
     lack one, are records of their own; no rows make an empty archive. Other columns are ignored, whatever they are called.
     """
     c = lambda name: F.col(f"c{position(pages, name)}")
@@ -84,8 +84,9 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", html: str =
     headers(narrow, firsts, least).write.parquet(f"{path}/headers")
     # every payload by one of its rows: the first with an id, else any
     keepers = narrow.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "row", *ROW_ID)).alias("k")).select("digest", *[F.col(f"k.{c}").alias(c) for c in ROW_ID])
-    rows.join(keepers, list(ROW_ID)).select("digest", "payload").write.parquet(f"{path}/payloads")
-    release(narrow)
+    keepers = materialize(keepers, "keepers", narrow)
+    by_row(rows, keepers, "inner").select("digest", "payload").write.parquet(f"{path}/payloads")
+    release(keepers)
     sweep(pages.sparkSession)
 
 
