@@ -320,15 +320,15 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     first = materialize(screened(ordered(pivots.union(close)), nodes), "pairs", close)
     near = similar_pairs(first, nodes, rows, text, width)
     tree = components(near)
-    # half of the sketch goes along: it tells sets apart before a pair is made
-    half = [f"bits_{i}" for i in range(SKETCH // 2)]
+    # the sketch goes along: it tells sets apart before a pair is made
+    whole = [f"bits_{i}" for i in range(SKETCH)]
     own = Window.partitionBy("set_id").orderBy("pos")
     before = F.array_compact(F.array(*[F.lag("shingle", k).over(own) for k in range(1, 5)]))
-    rooted = index.withColumn("before", before).join(nodes.select("set_id", *[F.col("sketch")[i].alias(b) for i, b in enumerate(half)]), "set_id").join(tree, F.col("set_id") == F.col("node"), "left")
-    rooted = materialize(rooted.select("shingle", "before", "set_id", "n", "pos", *half, F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
+    rooted = index.withColumn("before", before).join(nodes.select("set_id", *[F.col("sketch")[i].alias(b) for i, b in enumerate(whole)]), "set_id").join(tree, F.col("set_id") == F.col("node"), "left")
+    rooted = materialize(rooted.select("shingle", "before", "set_id", "n", "pos", *whole, F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
     a, b = rooted.alias("a"), rooted.alias("b")
     num, den = SIMILAR
-    near_enough = apart([(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in half]) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
+    near_enough = apart([(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in whole]) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
     # the first shingle that two sets share has no shared one among the last before it, and before it only such as one set has
     begins = ~F.arrays_overlap("a.before", "b.before") & ((F.col("a.pos") + F.col("b.pos")) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num))
     rest = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & early("a", "b") & near_enough & begins)
