@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterable, Iterator
 
@@ -88,7 +89,22 @@ def in_arrow(rows: DataFrame, run, schema) -> DataFrame:
     for name, value in BATCH.items():
         if name not in said:
             rows.sparkSession.conf.set(name, value)
-    return rows.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task stands beside the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ _LEADING = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+
 _LETTERS = re.compile(f"[{_LETTER}]+")
 _TO_SPACE = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
 
-#: Pieces a worker remembers at most, characters of one that is remembered, bytes of a batch and characters of a block.
+#: Pieces a task remembers at most, characters of one that is remembered, bytes of a batch and characters of a block.
 REMEMBERED, REMEMBERED_CHARS, BATCH_BYTES, BLOCK_CHARS = 600_000, 64, 1 << 17, 1 << 20
 
 
@@ -47,21 +47,27 @@ def bare(text: str) -> list[str]:
     return _PRE_WORD.findall(text.lower())
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str, packed: bool):
+    """(tokenizer, which ids end a word of those without white space, or begin one of those that keep it); once a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    edge = (lambda token: token.endswith("</w>")) if packed else (lambda token: token.startswith("\u0120"))
+    ids = tokenizer.get_vocab(with_added_tokens=True)
+    edges = np.zeros(max(ids.values()) + 1, bool)
+    edges[[i for token, i in ids.items() if edge(token)]] = True
+    return tokenizer, edges
+
+
 class Encoder:
     """Pieces -> one value each: the number of ids, or with `packed` the ids as little-endian unsigned 32-bit."""
 
     def __init__(self, path: str, packed: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.edge = vocabulary(path, packed)
         self.split, self.packed, self.none = (bare, packed, b"") if packed else (leading, packed, 0)
         self.known: dict = {}
-        # ids that end a word (words without white space) or begin one (words that keep their space)
-        edge = (lambda token: token.endswith("</w>")) if packed else (lambda token: token.startswith("\u0120"))
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edge[[i for token, i in vocabulary.items() if edge(token)]] = True
 
     def _value(self, ids):
         return np.array(ids, "<u4").tobytes() if self.packed else len(ids)
@@ -124,12 +130,6 @@ class Encoder:
         return b"".join(values) if self.packed else sum(values)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, packed: bool) -> Encoder:
-    """One for each worker process: what it remembers serves the worker's later tasks too."""
-    return Encoder(path, packed)
-
-
 def counter(path: str) -> Callable[[list[str | None]], list[int]]:
     """texts -> numbers of tokens; .json by tokenizers, .model by sentencepiece."""
     if path.endswith(".model"):
@@ -137,12 +137,12 @@ def counter(path: str) -> Callable[[list[str | None]], list[int]]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
-    return encoder(path, False).texts
+    return Encoder(path, False).texts
 
 
 def packer(path: str) -> Callable[[list[str | None]], list[bytes]]:
     """texts -> ids, each little-endian unsigned 32-bit; for .json vocabularies whose tokens hold no white space."""
-    return encoder(path, True).texts
+    return Encoder(path, True).texts
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 << 21) -> DataFrame:
