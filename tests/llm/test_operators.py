@@ -138,6 +138,15 @@ def test_long_text_between_short_ones_with_a_tiny_memory(monkeypatch, packed):
         assert encoder.texts(batch) == [np.array(x, "<u4").tobytes() if packed else len(x) for x in ids]
 
 
+def test_each_task_begins_without_remembered_pieces():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first, second = tokens.packer(path), tokens.packer(path)
+    assert first(["one two", "two three"]) == second(["one two", "two three"])
+    assert first.__self__.known and first.__self__.known is not second.__self__.known
+    assert first.__self__.tokenizer is second.__self__.tokenizer  # loaded once a worker
+    assert not tokens.packer(path).__self__.known
+
+
 # near duplicates
 
 
