@@ -131,6 +131,14 @@ def test_too_late_is_dropped(spark, tmp_path):
     assert ("U1@D", "00:00") not in made
 
 
+def test_distinct_hosts_are_exact(spark, tmp_path):
+    hosts = [message(i % 60).replace('"C1"', f'"C{i}"') for i in range(300)]
+    run(spark, tmp_path, [[*hosts, message(0).replace('"C2"', "null"), message(61, "U2@D").replace('"C2"', "null")], [message(600)]])
+    made = windows.read_sink(spark, f"{tmp_path}/sink").select("src_user", "distinct_dst_computers", "distinct_src_computers").collect()
+    assert sorted(map(tuple, made)) == [("U1@D", 300, 1), ("U2@D", 1, 0)]
+    assert dict(windows.read_sink(spark, f"{tmp_path}/sink").dtypes)["distinct_dst_computers"] == "bigint"
+
+
 def test_restart_writes_nothing_twice(spark, tmp_path):
     batches = [[message(0), message(10)], [message(600)]]
     first = run(spark, tmp_path, batches)
