@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from authscope.operators import graph, vectors
+from authscope.operators import graph, star, vectors
 from authscope.plans import queries
 from authscope.sources import log
 from authscope.streaming import windows
@@ -139,6 +139,12 @@ def test_distinct_hosts_are_exact(spark, tmp_path):
     assert dict(windows.read_sink(spark, f"{tmp_path}/sink").dtypes)["distinct_dst_computers"] == "bigint"
 
 
+def test_the_stream_mart_keeps_exact_hosts(spark):
+    rows = spark.range(300).selectExpr("timestamp'2015-01-01 00:00:10' as event_ts", "'U1@D' as src_user", "concat('C', id) as dst_computer", "concat('S', id % 200) as src_computer", "'Fail' as outcome", "0L as produce_ts_ms")
+    made = star.streaming_mart(windows.windowed(rows)).first()
+    assert (made["distinct_dst_computers_approx"], made["distinct_src_computers_approx"], made["failure_ratio"]) == (300, 200, 1.0)
+
+
 def test_restart_writes_nothing_twice(spark, tmp_path):
     batches = [[message(0), message(10)], [message(600)]]
     first = run(spark, tmp_path, batches)
