@@ -90,7 +90,10 @@ def _long(value: int) -> F.Column:
 
 
 def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints `fp` that differ in at most `bits` bits, each once."""
+    """Pairs (a, b), a < b, of distinct fingerprints `fp` that differ in at most `bits` bits, each once.
+
+    The index is never broadcast: planners don't know that it has 64 rows for each of a small table's.
+    """
     cut = segments(bits)
     masks = [((1 << n) - 1) << at for at, n in cut]
     variants = [
@@ -99,7 +102,7 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
         for j in range(n)
     ]
     index = distinct.select("fp", F.inline(F.array(*variants)).alias("place", "rest"))
-    a, b = index.alias("a"), index.alias("b")
+    a, b = index.hint("merge").alias("a"), index.hint("merge").alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = [F.bit_count(differ.bitwiseAND(_long(m))) for m in masks]
     # first segment with at most one differing bit; a segment without any counts at its first wildcard
@@ -245,6 +248,13 @@ def apart(sketches: list[tuple[F.Column, F.Column]]) -> F.Column:
     return reduce(lambda x, y: x + y, (F.bit_count(a.bitwiseXOR(b)) for a, b in sketches))
 
 
+def repeated(index: DataFrame) -> DataFrame:
+    """Rows of an index whose shingle others have too. Such shingles are never broadcast: planners take the rows that an
+    array unfolds to for one, and there may be hundreds."""
+    shared = index.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
+    return index.join(shared.hint("merge"), "shingle")
+
+
 def early(a: str, b: str) -> F.Column:
     """Whether a and b (n, pos) share a shingle so early that their sets may be similar: in one order for all, two similar
     sets share one that has at least as many behind it, itself included, in either set as they must have in common."""
@@ -311,8 +321,7 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     extra = materialize(extra.select(*ROW_ID), "extra")
     index = by_row(fps.select(*ROW_ID, "set_id", "n", "prefix"), extra, "left_anti")
     index = index.select("set_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
-    shared = index.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
-    index = materialize(index.join(shared, "shingle"), "prefixes", extra)
+    index = materialize(repeated(index), "prefixes", extra)
     members = materialize(fps.select(*ROW_ID, "doc_key", "set_id"), "members", fps)
     leaders = [F.min(F.struct(F.xxhash64(F.lit(i), F.col("set_id")).alias("turn"), "set_id", "n", "pos")).alias(f"pivot_{i}") for i in range(PIVOTS)]
     met = index.join(index.groupBy("shingle").agg(*leaders), "shingle").select(F.struct("set_id", "n", "pos").alias("own"), F.explode(F.array_distinct(F.array(*[f"pivot_{i}" for i in range(PIVOTS)]))).alias("pivot"))
@@ -326,7 +335,7 @@ def _grouped(rows: DataFrame, key: str, text: str, bits: int, width: int) -> Dat
     before = F.array_compact(F.array(*[F.lag("shingle", k).over(own) for k in range(1, 5)]))
     rooted = index.withColumn("before", before).join(nodes.select("set_id", *[F.col("sketch")[i].alias(b) for i, b in enumerate(whole)]), "set_id").join(tree, F.col("set_id") == F.col("node"), "left")
     rooted = materialize(rooted.select("shingle", "before", "set_id", "n", "pos", *whole, F.coalesce("root", "set_id").alias("root")), "prefixes", index, first)
-    a, b = rooted.alias("a"), rooted.alias("b")
+    a, b = rooted.hint("merge").alias("a"), rooted.hint("merge").alias("b")  # wide rows in small files
     num, den = SIMILAR
     near_enough = apart([(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in whole]) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num)
     # the first shingle that two sets share has no shared one among the last before it, and before it only such as one set has

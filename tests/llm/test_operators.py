@@ -752,3 +752,18 @@ def test_digits_behind_letters_are_safe_places():
         library = Tokenizer.from_file(public_tokenizers.path(name))
         encode = lambda t: library.encode(t, add_special_tokens=False).ids  # noqa: B023, E731
         assert sum((encode(x) for x in parts), []) == encode(text)
+
+
+def test_an_unfolded_index_is_never_broadcast(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    try:
+        texts = spark.range(2000).selectExpr("id as set_id", "explode(array(id % 7, id, id % 900)) as shingle")
+        for made in (simhash.links(spark.range(2000).selectExpr("id * 7919 as fp")), simhash.repeated(texts)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    found = {tuple(r) for r in simhash.links(spark.createDataFrame([(0,), (15,), (31,)], "fp long")).collect()}
+    assert found == {(0, 15), (15, 31)}
+    assert simhash.repeated(texts).filter("set_id < 7").count() == sum(1 for i in range(7) for _ in range(3))
