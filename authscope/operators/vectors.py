@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from authscope.functions import expressions as X
 from authscope.operators.rollup import DAY
-from authscope.session import cut
+from authscope.session import cut, new_path
 
 # The vocabularies whose shares are vector dimensions, in order; all else is "other".
 AUTH_TYPES = ["Kerberos", "Negotiate", "NTLM", "MICROSOFT"]
@@ -105,16 +105,60 @@ def fit_centroids(rows: DataFrame, total: int, p: Index) -> np.ndarray:
 
 
 def _in_cells(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
-    """(cell, id, vector): every row in each of its `probes` nearest cells."""
+    """(cell, turn, off, id, vector): every row in each of its `probes` nearest cells, the nearest at turn 0; off is its
+    distance from the cell's centroid."""
     shipped = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _near_cells(_matrix(batch.column(1)), shipped.value, probes)
+            x = _matrix(batch.column(1))
+            near = _near_cells(x, shipped.value, probes)
+            off = np.stack([np.sqrt(((x - shipped.value[cells]) ** 2).sum(axis=1)) for cells in near.T], axis=1)
             which = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(which), batch.column(1).take(which)], names=["cell", "id", "vector"])
+            turn = np.tile(np.arange(near.shape[1]), batch.num_rows)
+            made = [pa.array(near.ravel().astype(np.int64)), pa.array(turn.astype(np.int32)), pa.array(off.ravel())]
+            yield pa.RecordBatch.from_arrays([*made, batch.column(0).take(which), batch.column(1).take(which)], names=["cell", "turn", "off", "id", "vector"])
 
-    return rows.mapInArrow(run, f"cell long, id {rows.schema['id'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}")
+    return rows.mapInArrow(run, f"cell long, turn int, off double, id {rows.schema['id'].dataType.simpleString()}, vector {rows.schema['vector'].dataType.simpleString()}")
+
+
+def _best(k: int):
+    """Of a block of rows and one of queries (with a bound on the distance), the k best rows of every query. A product of
+    matrices finds all pairs that may be among them; their distances are then taken from the differences."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": right["id"][:0], "id": left["id"][:0], "distance": np.zeros(0)})]
+        if len(left) and len(right):
+            x, ids = np.stack(left["vector"].to_numpy()).astype(np.float64), left["id"].to_numpy()
+            asked, bound, vectors = right["id"].to_numpy(), right["bound"].to_numpy(), right["vector"].to_numpy()
+            size, code, places = (x * x).sum(axis=1), np.unique(ids, return_inverse=True)[1], {}
+            for i, name in enumerate(ids):
+                places.setdefault(name, []).append(i)
+            least, step = min(k, len(x)) - 1, max(1, (1 << 19) // len(x))
+            for at in range(0, len(asked), step):
+                q, most = np.stack(vectors[at : at + step]).astype(np.float64), bound[at : at + step]
+                weight = (q * q).sum(axis=1)
+                rough = size[None, :] - 2.0 * (q @ x.T) + weight[:, None]
+                for i, name in enumerate(asked[at : at + step]):
+                    if name in places:
+                        rough[i, places[name]] = np.inf
+                cap, free = most.copy(), np.isinf(most)
+                if free.any():
+                    cap[free] = np.partition(rough[free], least, axis=1)[:, least]
+                cap += 1e-9 * (size.max() + weight) + 1e-11  # rounding of the product and of the distances
+                r, c = np.nonzero((rough <= cap[:, None]) & np.isfinite(rough))
+                d = np.empty(len(r))
+                for i in range(0, len(r), 1 << 16):
+                    apart = x[c[i : i + (1 << 16)]] - q[r[i : i + (1 << 16)]]
+                    d[i : i + (1 << 16)] = np.round(np.einsum("ij,ij->i", apart, apart), 12)
+                order = np.lexsort((code[c], d, r))
+                order = order[d[order] <= most[r[order]]]
+                place = np.arange(len(order)) - np.searchsorted(r[order], r[order])
+                order = order[place < k]
+                out.append(pd.DataFrame({"query": asked[at + r[order]], "id": ids[c[order]], "distance": d[order]}))
+        return pd.concat(out) if len(out) > 1 else out[0]
+
+    return run
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_type: str = "long", index: Index | None = None, block_rows: int = 8192) -> DataFrame:
@@ -123,42 +167,49 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_type: str = "long",
     rows and queries have (id, vector). Without an index every query meets all rows, and the result is exact; with one
     it meets the rows of its nearest cells only. Cells, and the queries that look into one, are dealt into blocks of
     bounded size: every pair of blocks is a task's work of its own, keeps its best k per query, and the winners are merged.
+
+    With an index the nearest cell comes first. Its k-th distance bounds what other cells may add: those too far off for
+    any such row are left out, and of the others only rows within the bound are kept. The result stays the same.
     """
     rows, queries = rows.select("id", "vector").filter("id is not null and vector is not null"), queries.select("id", "vector").filter("id is not null and vector is not null")
     total = rows.count()
     size = index.block_rows if index else block_rows
-    if index and total:
-        centroids = fit_centroids(rows, total, index)
-        placed, asked = _in_cells(rows, centroids, 1), _in_cells(queries, centroids, index.probes)
-        blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
-        plan = cut(blocks(placed, "row_blocks").join(blocks(asked, "query_blocks"), "cell"))  # a row for each cell
-        placed, asked = placed.join(plan, "cell"), asked.join(plan, "cell")
-    else:
-        whole = {"cell": F.lit(0).cast("long"), "row_blocks": F.lit(max(1, -(-total // size))).cast("long"), "query_blocks": F.lit(max(1, -(-queries.count() // size))).cast("long")}
-        placed, asked = rows.withColumns(whole), queries.withColumns(whole)
+    keys = ["cell", "row_blocks", "query_blocks"]
     dealt = lambda own, other: [
-        F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), "id", "vector",
+        "cell", F.pmod(F.xxhash64("id"), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), "id", "vector",
     ]
-    left, right = placed.select("cell", *dealt("row_blocks", "query_blocks")), asked.select("cell", *dealt("query_blocks", "row_blocks"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            x, ids = np.stack(left["vector"].to_numpy()).astype(np.float64), left["id"].to_numpy()
-            for query, q in zip(right["id"], right["vector"], strict=True):
-                d = x - np.asarray(q, dtype=np.float64)
-                d = np.round(np.einsum("ij,ij->i", d, d), 12)
-                d[ids == query] = np.inf
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                near = near[np.isfinite(d[near])]
-                order = np.lexsort((ids[near], d[near]))[:k]
-                out += [(query, ids[near[o]], float(d[near[o]])) for o in order]
-        return pd.DataFrame(out, columns=["query", "id", "distance"])
+    def meet(placed: DataFrame, asked: DataFrame) -> DataFrame:
+        left, right = placed.select(*dealt("row_blocks", "query_blocks")), asked.select(*dealt("query_blocks", "row_blocks"), "bound")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_best(k), f"query {id_type}, id {id_type}, distance double")
 
-    keys = ["cell", "row_blocks", "query_blocks"]
-    won = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query {id_type}, id {id_type}, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return won.withColumn("rank", rank).filter(F.col("rank") <= k)
+    def ranked(won: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+        return won.select("query", "id", "distance").withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    endless = F.lit(float("inf"))
+    if not (index and total):
+        whole = {"cell": F.lit(0).cast("long"), "row_blocks": F.lit(max(1, -(-total // size))).cast("long"), "query_blocks": F.lit(max(1, -(-queries.count() // size))).cast("long")}
+        return ranked(meet(rows.withColumns(whole), queries.withColumns(whole).withColumn("bound", endless)))
+
+    centroids = fit_centroids(rows, total, index)
+    placed, asked = _in_cells(rows, centroids, 1), _in_cells(queries, centroids, index.probes)
+    blocks = lambda name: F.ceil(F.count("*") / size).cast("long").alias(name)
+    cells = cut(placed.groupBy("cell").agg(blocks("row_blocks"), F.max("off").alias("radius")))  # a row for each cell
+
+    def probed(asked: DataFrame) -> DataFrame:
+        asked = asked.join(cells.select("cell", "row_blocks"), "cell")
+        plan = cut(asked.groupBy("cell").agg(blocks("query_blocks")).join(cells.select("cell", "row_blocks"), "cell"))
+        return meet(placed.join(plan, "cell"), asked.drop("row_blocks").join(plan, "cell"))
+
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "nearest")
+    ranked(probed(asked.filter("turn = 0").withColumn("bound", endless))).write.parquet(path)
+    first = spark.read.parquet(path)
+    bounds = first.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("distance").alias("bound"))
+    rest = asked.filter("turn > 0").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", endless)).join(cells.select("cell", "radius"), "cell")
+    gap = F.greatest(F.lit(0.0), F.col("off") - F.col("radius") - (F.col("off") + F.col("radius")) * 1e-9)
+    rest = rest.filter(gap * gap <= F.col("bound") + 1e-11).drop("radius")
+    return ranked(first.select("query", "id", "distance").unionByName(probed(rest)))
 
 
 def anomaly_scores(rows: DataFrame, k: int = 20, id_type: str = "long", index: Index | None = None) -> DataFrame:

@@ -241,3 +241,36 @@ def test_plain_file_sink(spark, tmp_path):
     query = windows.start_files(windows.windowed(log.stream_files(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/state")
     query.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_a_block_gives_the_best_within_the_bound():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6)).round(1)
+    x[100:140] = x[7]  # ties
+    ids = np.array([f"r{i:03d}" for i in rng.permutation(300)], dtype=object)
+    asked = list(range(0, 300, 3)) + [7]
+    bound = np.array([np.inf if i % 2 else 4.0 for i in range(len(asked))])
+    found = vectors._best(5)(pd.DataFrame({"id": ids, "vector": list(x)}), pd.DataFrame({"id": ids[asked], "vector": list(x[asked]), "bound": bound}))
+    want = []
+    for i, most in zip(asked, bound, strict=True):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), 12)
+        want += [(ids[i], n, o) for o, n in sorted((o, n) for o, n in zip(d, ids, strict=True) if n != ids[i] and o <= most)[:5]]
+    assert [(q, n, round(o, 9)) for q, n, o in found.itertuples(index=False)] == [(q, n, round(o, 9)) for q, n, o in want]
+
+
+def test_the_index_gives_the_best_of_all_probed_cells(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(400, 4)) + 3 * rng.integers(0, 3, size=(400, 1))).round(2)
+    x[50:90] = x[3]
+    index = vectors.Index(probes=4, cells=1.0, block_rows=16)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").localCheckpoint()
+    centroids = vectors.fit_centroids(rows, 400, index)
+    cell, probed = vectors._near_cells(x, centroids, 1)[:, 0], vectors._near_cells(x, centroids, 4)
+    want = set()
+    for i in range(400):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), 12)
+        best = sorted((d[j], j) for j in range(400) if j != i and cell[j] in probed[i])[:30]  # more than a cell has
+        want |= {(i, r, j) for r, (_, j) in enumerate(best, 1)}
+    assert {(r["query"], r["rank"], r["id"]) for r in vectors.nearest(rows, rows, 30, index=index).collect()} == want
