@@ -6,6 +6,7 @@ import ctypes
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -130,22 +131,27 @@ def by_size(sizes: Iterable[int], limit: int, rows: int = 1 << 30) -> Iterator[t
 
 def by_bytes(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """by_size() of texts by their UTF-8 bytes."""
-    return by_size(pc.binary_length(pa.array(texts, pa.string())).to_pylist(), limit)
+    ends = np.cumsum(pc.binary_length(pa.array(texts, pa.string())).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = held = 0
+    while start < len(ends):
+        after = min(len(ends), int(np.searchsorted(ends, held + limit)) + 1)
+        yield start, after
+        start, held = after, int(ends[after - 1])
 
 
 _BOUNDARY = re.compile(f"(?<=[^{UNICODE_SPACE}])(?=[{UNICODE_SPACE}])|(?<=[A-Za-z])(?=[0-9])")
 
 
-def safe_blocks(text: str, limit: int = 1 << 20) -> Iterator[str]:
+def safe_blocks(text: str, limit: int = 1 << 20, boundary: re.Pattern = _BOUNDARY) -> Iterator[str]:
     """Pieces of a text of about `limit` characters, cut only where white space follows a character that isn't any, or an
-    ASCII digit an ASCII letter.
+    ASCII digit an ASCII letter, if no other boundary is given.
 
     Public BPE split patterns never let one pre-token run over such a place, so tokens of the pieces are the tokens of
     the text. A text that has no such place is one piece: the vocabulary's own pre-token may be as long.
     """
     start = 0
     while len(text) - start > limit:
-        found = _BOUNDARY.search(text, start + limit)
+        found = boundary.search(text, start + limit)
         if not found:
             break
         yield text[start : found.start()]

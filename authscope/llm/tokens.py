@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_, not_
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,13 @@ _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: white space and ASCII punctuation but for the apostrophe (contractions) and < (special tokens).
 _ODD = re.compile(f"[^ \\t\\n{_LETTER}0-9!\"#$%&()*+,\\-./:;=>?@\\[\\\\\\]^_`{{|}}~]")
 _PRE_BYTE = re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[^ \\t\\n{_LETTER}0-9]+|[ \\t\\n]+(?![^ \\t\\n])|[ \\t\\n]+")
-_PRE_WORD = re.compile(f"[{_LETTER}]+|[0-9]|[^ \\t\\n{_LETTER}0-9]+")
 _LEADING = re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+")
-_LETTERS = re.compile(f"[{_LETTER}]+")
+#: What stands between words of letters in texts without odd characters; for Arrow, bytes will do.
+_NO_WORD = r"([0-9]|[!-/:-@\[-`{-~]+)"
+#: There, a digit is a piece of its own if white space isn't any.
+_PLAIN_BOUNDARY = re.compile("(?=[ \\t\\n0-9])")
+#: Pieces that many are encoded of at once: words without white space, or behind a space.
+_BARE_WORD, _LEADING_WORD = re.compile(f"[{_LETTER}]+"), re.compile(f" [{_LETTER}]+")
 _TO_SPACE = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
 
 #: Pieces a task remembers at most, characters of one that is remembered, bytes of a batch and characters of a block.
@@ -42,9 +48,7 @@ def leading(text: str) -> list[str]:
 
 def bare(text: str) -> list[str]:
     """Pieces without white space; for lower-case vocabularies whose tokens never hold any."""
-    if _ODD.search(text):
-        return [x for x in text.translate(_TO_SPACE).split(" ") if x]
-    return _PRE_WORD.findall(text.lower())
+    return [x for x in text.translate(_TO_SPACE).split(" ") if x]
 
 
 @lru_cache(maxsize=2)
@@ -66,7 +70,7 @@ class Encoder:
 
     def __init__(self, path: str, packed: bool):
         self.tokenizer, self.edge = vocabulary(path, packed)
-        self.split, self.packed, self.none = (bare, packed, b"") if packed else (leading, packed, 0)
+        self.split, self.word, self.packed = (bare, _BARE_WORD, packed) if packed else (leading, _LEADING_WORD, packed)
         self.known: dict = {}
 
     def _value(self, ids):
@@ -94,30 +98,57 @@ class Encoder:
             else:
                 yield from np.diff(edges, append=len(ids)).tolist()
 
-    def learn(self, pieces: set[str]) -> dict:
-        """Values of those pieces that aren't known; short ones are remembered."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = sorted(pieces.difference(self.known))
-        word = [bool(_LETTERS.fullmatch(x, 0 if self.packed else x[0] == " ")) and (self.packed or x[0] == " ") for x in new]
-        words, other = [x for x, w in zip(new, word, strict=True) if w], [x for x, w in zip(new, word, strict=True) if not w]
+    def learn(self, new: Iterable[str]) -> dict:
+        """Values of distinct pieces that aren't known; short ones are remembered."""
+        new = sorted(new)
+        word = list(map(self.word.fullmatch, new))
+        words, other = list(compress(new, word)), list(compress(new, map(not_, word)))
         fresh = dict(zip(words, self.encode_words(words), strict=True)) | dict(zip(other, self.encode(other), strict=True))
-        self.known.update((k, v) for k, v in fresh.items() if len(k) <= REMEMBERED_CHARS)
+        self.known.update(fresh)
+        for x in [x for x in new if len(x) > REMEMBERED_CHARS]:
+            del self.known[x]
         return fresh
 
     def texts(self, texts: list[str | None]) -> list:
         """The value of every whole text: the sum, or the ids joined."""
         long = [bool(t) and len(t) > BLOCK_CHARS for t in texts]
-        held = [self.split(t) if t and not far else [] for t, far in zip(texts, long, strict=True)]
-        fresh = self.learn(set().union(*held))
-        # short texts are looked up before a long one makes learn() forget what they rely on
-        out = [None if far else self._look_up(pieces, fresh) for pieces, far in zip(held, long, strict=True)]
+        out = self._values(["" if far else t or "" for t, far in zip(texts, long, strict=True)])
         for i in np.flatnonzero(long).tolist():  # block by block
-            out[i] = self._join([self._block(self.split(block)) for block in safe_blocks(texts[i], BLOCK_CHARS)])
+            where = [_PLAIN_BOUNDARY] if self.packed and not _ODD.search(texts[i]) else []
+            out[i] = self._join([self._values([block])[0] for block in safe_blocks(texts[i], BLOCK_CHARS, *where)])
+        return out
+
+    def _values(self, texts: list[str]) -> list:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        plain = [self.packed and not _ODD.search(t) for t in texts]
+        held = [[] if easy else self.split(t) for t, easy in zip(texts, plain, strict=True)]
+        fresh = self.learn(set().union(*held).difference(self.known))
+        out = [self._look_up(pieces, fresh) for pieces in held]
+        which = np.flatnonzero(plain).tolist()
+        for i, ids in zip(which, self._plain([texts[i] for i in which]), strict=True):
+            out[i] = ids
         return out
 
-    def _block(self, pieces: list[str]):
-        return self._look_up(pieces, self.learn(set(pieces)))
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts without odd characters. Arrow cuts them into words, digits and runs of punctuation and numbers
+        the distinct ones, so that only these are looked up; NumPy lays their ids out text by text."""
+        spaced = pc.replace_substring_regex(pa.array([t.lower() for t in texts], pa.string()), _NO_WORD, r" \1 ")
+        pieces = pc.ascii_split_whitespace(spaced)  # an empty piece where a text begins or ends with white space: no ids
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.known.get, distinct))
+        gaps = list(compress(range(len(values)), map(is_, values, repeat(None))))
+        fresh = self.learn([distinct[k] for k in gaps])
+        for k in gaps:
+            values[k] = fresh[distinct[k]]
+        ids, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.cumsum(each)
+        data = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - each), each) + np.arange(each.sum())].tobytes()
+        cuts = 4 * np.concatenate([[0], ends])[pieces.offsets.to_numpy()]
+        return [data[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def _look_up(self, pieces: list[str], fresh: dict):
         known = self.known

@@ -147,6 +147,48 @@ def test_each_task_begins_without_remembered_pieces():
     assert not tokens.packer(path).__self__.known
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_random_batches_of_plain_and_odd_texts_match_the_library(monkeypatch, packed):
+    path = public_tokenizers.path("word_bpe_49k.json" if packed else "byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    monkeypatch.setattr(tokens, "REMEMBERED_CHARS", 4)
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 50)
+    rng, library, encoder = random.Random(11), Tokenizer.from_file(path), tokens.Encoder(path, packed)
+    some = [*" \n\t", "one", "Two", "ÀÉÿß", "12", "3", "!?", ".", "[a]", "`{~}", "verylongword", "1,2,"]
+    for n in range(300):
+        batch = ["".join(rng.choice(some if n % 3 else [*some, "'s", "<", "日", "\xa0"]) for _ in range(rng.choice((0, 1, 5, 20, 60)))) for _ in range(rng.randint(0, 4))]
+        ids = [library.encode(t, add_special_tokens=False).ids for t in batch]
+        assert encoder.texts(batch) == [np.array(x, "<u4").tobytes() if packed else len(x) for x in ids], batch
+
+
+def test_packing_looks_up_each_piece_once_a_batch():
+    asked = Counter()
+
+    class Known(dict):
+        def get(self, key):
+            asked[key] += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            asked[key] += 1
+            return super().__getitem__(key)
+
+    pack = tokens.packer(public_tokenizers.path("word_bpe_49k.json"))
+    pack.__self__.known = Known()
+    assert len(set(pack(["One two, two 1"] * 50))) == 1
+    assert {"one", "two", ",", "1"} <= set(asked) and max(asked.values()) == 1
+
+
+def test_digits_without_white_space_are_cut_into_blocks(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 40)
+    path, sizes = public_tokenizers.path("word_bpe_49k.json"), []
+    encoder, text = tokens.Encoder(path, True), "1,23," * 100
+    values = encoder._values
+    monkeypatch.setattr(encoder, "_values", lambda texts: sizes.append(max(map(len, texts))) or values(texts))
+    assert np.frombuffer(encoder.texts([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert max(sizes) <= 45
+
+
 # near duplicates
 
 
